@@ -335,5 +335,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The row of each component's smallest doc_id, with all its columns; one of them where rows share that doc_id."""
     spark = docs.sparkSession
     kept = cut(spark, near_duplicate_components(docs).where("doc_id = component_id or component_id is null").select("doc_id").distinct(), "kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    side = F.broadcast(kept) if small(kept, 16) else kept
+    out = docs.join(side, docs["doc_id"].eqNullSafe(side["doc_id"]), "left_semi")
     return out.dropDuplicates(["doc_id"]) if docs.count() != docs.select("doc_id").distinct().count() else out

@@ -196,7 +196,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, train=None, keep: tup
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, *, train=None) -> DataFrame:
     """``docs`` without the documents that are predicted toxic."""
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return score_documents(docs, labels, keep=rest).where("predicted = 0").select(*docs.columns)
+    return score_documents(docs, labels, train=train, keep=rest).where("predicted = 0").select(*docs.columns)
