@@ -72,13 +72,12 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
         joined = large.join(low2, "u")
         nxt = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
         nxt = cut(spark, nxt.where("u <> v").distinct(), "edges")
-        # a star forest: every u once, and no v is a u
-        state = nxt.agg(F.count("*").alias("n"), F.countDistinct("u").alias("us")).first()
-        stable = state["n"] == state["us"] and nxt.join(nxt.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() == 0
-        if stable and nxt.exceptAll(cur).limit(1).count() == 0:
-            drop_cut(spark, cur) if state["n"] else None
-            break
+        # done when it is a star forest: every u once, and no v is a u
+        nodes = nxt.select(F.col("u").alias("x"), F.lit(1).alias("u"), F.lit(0).alias("v")).unionByName(nxt.select(F.col("v").alias("x"), F.lit(0).alias("u"), F.lit(1).alias("v")))
+        state = nodes.groupBy("x").agg(F.sum("u").alias("u"), F.max("v").alias("v")).agg(F.max("u").alias("u"), F.max(F.expr("u > 0 and v > 0")).alias("both")).first()
         drop_cut(spark, cur)
+        if state["u"] is None or state["u"] == 1 and not state["both"]:
+            break
         cur = nxt
     return nxt.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(nxt.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 

@@ -45,10 +45,12 @@ _U = np.uint64
 
 
 class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    """64-bit hashes of words, as bytes."""
+
+    def __missing__(self, word: bytes) -> bytes:
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_digest(word)
         if len(word) <= 48:
             if len(self) > 500_000:
                 self.clear()
@@ -57,9 +59,19 @@ class WordHashes(dict):
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
-    return x ^ x >> _U(31)
+    x = x ^ x >> _U(30)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
+
+
+def _known() -> WordHashes:
+    """One memo for each Python worker."""
+    if not hasattr(_known, "kept"):
+        _known.kept = WordHashes()
+    return _known.kept
 
 
 def shingles(text: str, hashes: WordHashes) -> np.ndarray:
@@ -67,13 +79,15 @@ def shingles(text: str, hashes: WordHashes) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(hashes.__getitem__, words)), np.uint64)
     width = min(SHINGLE, len(words))
     n = len(words) - width + 1
     s = np.full(n, len(words) if width < SHINGLE else 0, np.uint64)
-    for k in range(width):
-        s += _mix(h[k : k + n] + _MULTIPLIERS[k]) * _MULTIPLIERS[k]
-    return np.unique(_mix(s))
+    for k in range(width):  # words' hashes are random already, so a sum with odd factors tells sequences apart
+        s += h[k : k + n] * _MULTIPLIERS[k]
+    s = _mix(s)
+    s.sort()
+    return s[np.append(True, s[1:] != s[:-1])] if n > 1 else s
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -96,7 +110,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = _known()
         for batch in batches:
             sets = [shingles(t or "", hashes) for t in batch.column("text").to_pylist()]
             keys = [_key(s) for s in sets]
@@ -117,7 +131,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
     rows = docs.select(docs["text"].cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, late = WordHashes(), last.value
+        hashes, late = _known(), last.value
         for whole in batches:
             for at in range(0, whole.num_rows, 2500):
                 seen, h, k, n = set(), [], [], []
@@ -212,7 +226,7 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     rows = rows.repartition("tile").sortWithinPartitions("tile")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, tile, sets, todo = WordHashes(), None, {}, []
+        hashes, tile, sets, todo = _known(), None, {}, []
 
         def links() -> list[tuple[int, int]]:
             root: dict[int, int] = {}
