@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .common import small
 
 #: Words kept by a task before it starts over, and the longest word that is kept.
 MEMO_WORDS, MEMO_BYTES = 600_000, 48
+#: Text whose distinct words are looked up at once, about: larger pieces repeat fewer look-ups.
+CHUNK_CHARS = 4 << 20
 #: Punctuation that is split off the end of a word.
 _TAIL = b".,!?:;#$%&*|"
 SCHEMA = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids array<int>"
@@ -93,7 +96,7 @@ class WordEncoder(dict):
         at = 0
         while at < len(texts):
             size, end = 0, at
-            while end < len(texts) and (size < 1 << 20 or end == at):
+            while end < len(texts) and (size < CHUNK_CHARS or end == at):
                 size += len(texts[end])
                 end += 1
             if len(self) > MEMO_WORDS:
@@ -125,8 +128,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = _encoder(model.value), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            sizes = pc.binary_length(whole.column("text")).to_numpy(zero_copy_only=False)
+            piece = np.cumsum(sizes, dtype=np.int64) // CHUNK_CHARS  # rows of one number are encoded and written together
+            edges = np.flatnonzero(np.diff(piece, prepend=-1, append=-1)).tolist() if len(piece) else []
+            for at, to in zip(edges[:-1], edges[1:], strict=True):
+                batch = whole.slice(at, to - at)
                 ids = [x + end for x in encoder.encode_all(batch.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(n)
