@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import small
 
-#: Words kept by a task before it starts over, and the longest word that is kept.
-MEMO_WORDS, MEMO_BYTES = 600_000, 48
+#: Words kept by a worker before it keeps only those just met, and the longest word that is kept.
+MEMO_WORDS, MEMO_BYTES = 900_000, 48
 #: Text whose distinct words are looked up at once, about: larger pieces repeat fewer look-ups.
-CHUNK_CHARS = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Punctuation that is split off the end of a word.
 _TAIL = b".,!?:;#$%&*|"
 SCHEMA = "doc_id bigint, shard int, shard_start bigint, n_tokens bigint, ids array<int>"
@@ -83,7 +83,7 @@ class WordEncoder(dict):
             raw = ids.tobytes()
             self.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)), strict=True))
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         split = [(w, w.rstrip(_TAIL)) for w in words if len(w) <= MEMO_BYTES]
         split = [(w, core if core and core[-1:].isalnum() else w) for w, core in split]
         self._encode(list({core for _, core in split}.union({w[len(core) :] for w, core in split if w != core}).difference(self)))
@@ -91,21 +91,31 @@ class WordEncoder(dict):
             if w != core:
                 self[w] = self[core] + self[w[len(core) :]]
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, four bytes each."""
-        at = 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (size < CHUNK_CHARS or end == at):
-                size += len(texts[end])
-                end += 1
-            if len(self) > MEMO_WORDS:
-                self.clear()
-            words = [t.encode().split() for t in texts[at:end]]
-            self.learn(set().union(*words).difference(self))
-            for w in words:
-                yield b"".join(map(self.__getitem__, w))
-            at = end
+    def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text with its end id, all those ids): words are told apart and laid out by columns."""
+        parts = pc.ascii_split_whitespace(texts)
+        words = pc.list_flatten(parts).dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        if len(self) > MEMO_WORDS:
+            met = {w: self[w] for w in distinct if w in self}
+            self.clear()
+            self.update(met)
+        self.learn([w for w in distinct if w not in self])
+        known = list(map(self.__getitem__, distinct))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, first = np.frombuffer(b"".join(known), "<i4"), np.cumsum(size) - size
+        index = words.indices.to_numpy(zero_copy_only=False)
+        per_word = size[index]
+        ends = np.concatenate(([0], np.cumsum(per_word)))
+        place = np.arange(ends[-1]) + np.repeat(first[index] - ends[:-1], per_word)
+        of_text = np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        n = np.diff(ends[of_text]) + 1
+        last = np.cumsum(n) - 1
+        is_id = np.ones(len(place) + len(n), bool)
+        is_id[last] = False
+        ids = np.full(len(is_id), end_id, "<i4")
+        ids[is_id] = flat[place]
+        return n, ids
 
 
 def _encoder(model: str) -> WordEncoder:
@@ -123,21 +133,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, *, end_id
         model = spark.sparkContext.broadcast(f.read())  # of fixed size: one vocabulary
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = _encoder(model.value), TaskContext.get().partitionId(), 0
         for whole in batches:
             sizes = pc.binary_length(whole.column("text")).to_numpy(zero_copy_only=False)
-            piece = np.cumsum(sizes, dtype=np.int64) // CHUNK_CHARS  # rows of one number are encoded and written together
+            piece = np.cumsum(sizes, dtype=np.int64) // CHUNK_BYTES  # rows of one number are encoded and written together
             edges = np.flatnonzero(np.diff(piece, prepend=-1, append=-1)).tolist() if len(piece) else []
             for at, to in zip(edges[:-1], edges[1:], strict=True):
                 batch = whole.slice(at, to - at)
-                ids = [x + end for x in encoder.encode_all(batch.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+                n, ids = encoder.encode_column(batch.column("text"), end_id)
                 ends = np.cumsum(n)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), flat)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), shard, np.int32)), pa.array(start + ends - n), pa.array(n), lists], ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
                 start += int(n.sum())
 
