@@ -272,14 +272,14 @@ def _encoder(key: int, ranks: dict[bytes, int], pattern: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
-    """One row per document with its id and the asked outputs, of: ids (binary, four bytes each), decoded (binary),
+    """One row per document with its id and the asked outputs, of: ids (binary, four bytes each), ids_u2 (two bytes each), decoded (binary),
     n_tokens, ids_sha256, decoded_sha256. Narrow: no shuffle."""
-    kinds = {"ids": "binary", "decoded": "binary", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+    kinds = {"ids": "binary", "ids_u2": "binary", "decoded": "binary", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     ranks = rows.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))  # of fixed size: one vocabulary
     key = hash((ranks_path, pattern, len(ranks.value)))
     decodes = any(o.startswith("decoded") for o in outputs)
-    fields = {"ids": pa.binary(), "decoded": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    fields = {"ids": pa.binary(), "ids_u2": pa.binary(), "decoded": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, ranks.value, pattern)
@@ -289,6 +289,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
             for ids in encoder.encode_all([t or "" for t in batch.column("text").to_pylist()]):
                 decoded = decoder.decode(np.frombuffer(ids, "<u4")) if decoder else b""
                 row = {"ids": ids, "decoded": decoded, "n_tokens": len(ids) // 4}
+                if "ids_u2" in out:  # RankMap takes no ids above two bytes
+                    row["ids_u2"] = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
                 for o in outputs:
                     out[o].append(hashlib.sha256(row[o[:-7]]).hexdigest() if o.endswith("_sha256") else row[o])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[o], fields[o]) for o in outputs)], ["doc_id", *outputs])

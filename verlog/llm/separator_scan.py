@@ -23,13 +23,8 @@ from .bpe import encode_documents
 def write_flat_files(docs: DataFrame, ranks_path: str, pattern: str, path: str, *, end_id: int, files_rows: int = 10_000) -> None:
     """Two-byte little-endian ids of each document and ``end_id``. Spark's text writer puts the bytes and, as its line
     separator, the end id; a file has ``files_rows`` documents at most, and so a bounded size."""
-    ids = encode_documents(docs, ranks_path, pattern, outputs=("ids",))
-
-    def narrow(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x.as_py(), "<u4").astype("<u2").tobytes() for x in batch.column("ids")], pa.binary())], ["value"])
-
-    rows = ids.select("ids").mapInArrow(narrow, "value binary").select(F.col("value").cast("string").alias("value"))
+    ids = encode_documents(docs, ranks_path, pattern, outputs=("ids_u2",))  # one Python worker a task
+    rows = ids.select(F.col("ids_u2").cast("string").alias("value"))
     rows.write.option("lineSep", end_id.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", files_rows).text(path)
 
 
