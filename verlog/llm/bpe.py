@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Words kept by a task before it starts over, and the longest word that is kept.
-MEMO_WORDS, MEMO_BYTES = 600_000, 48
+MEMO_WORDS, MEMO_BYTES = 400_000, 48
 #: No rank, and no id.
 NONE, PAD = 1 << 30, -2
 #: From so many bytes on, merging uses a heap.
