@@ -221,6 +221,19 @@ def test_html(spark):
     assert {r["text"] for r in html_extract.extract_pages(spark.createDataFrame(tip, "page_id long, url string, html string")).collect()} == {f"own {i}" for i in range(8)}
 
 
+def texts_of(spark, pages, host="http://h/"):
+    rows = html_extract.extract_pages(spark.createDataFrame([(i, host, p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["page_id"])]
+
+
+def test_html_wrapper_decides(spark):
+    # a constant advert among an article's paragraphs, and main text outside of the only article
+    page = "<body><article><h1>H{0}</h1><p>own {0} first</p><p>Read our other offers</p><p>own {0} last <span>Advert</span></p></article></body>"
+    assert texts_of(spark, [page.replace("{0}", f"n{i}") for i in range(8)]) == [f"Hn{i}\n\nown n{i} first\n\nown n{i} last" for i in range(8)]
+    page = "<body><div><p>the main text {0} of this page</p></div><article><p>teaser {0}</p></article></body>"
+    assert texts_of(spark, [page.replace("{0}", f"n{i}") for i in range(8)]) == [f"the main text n{i} of this page\n\nteaser n{i}" for i in range(8)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

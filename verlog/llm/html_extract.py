@@ -2,16 +2,18 @@
 
 The DOM trees of a host's pages are aligned by simple tree matching (the largest order-keeping match of children,
 recursively, of equal labels; a run of siblings of one label is one node). The aligned tree is the host's wrapper:
-per node the pages that have it and the commonest fingerprints of its text. Nodes whose text stays the same from
-page to page are template; slots that vary, outside of elements which are never article text, are content.
+per node the pages that have it and the fingerprints of its elements' texts. Elements whose text stays the same from
+page to page are template, inside of an article too; slots that vary are content, but for elements which are never
+article text. Emphasis and links within running text that varies are part of their sentence and not judged apart.
 
-Every page takes part. Each task folds its pages into one small tree per host, trees of a host are merged as a
-stream, and pages then meet their wrapper in a join. A wrapper's size is bounded by ``MAX_KIDS`` and by structure.
+Every page takes part, each distinct body of a host once: pages whose longest blocks, of ``BODY_SHARE`` of their text,
+are the same are one body, so copies and near copies do not turn their text into template. Each task folds bodies into
+one tree per host, trees of a host are merged as a stream, by lossy counting, which loses no text that a large part of
+a node's bodies share; a second pass counts what is left exactly. Pages then meet their wrapper in a join.
 
 Defined results: a null or empty page gives ''; a page without a tag is one block of text; a null url is a host of
-its own ('' as all urls without one); a host of few pages has no constant nodes, so the element rules alone decide;
-exact copies of a page do not turn its text into template (the share of the commonest whole page is set off);
-repeated rows each give their row; other columns are ignored.
+its own ('' as all urls without one); a host of few bodies has no constant nodes, so the element rules alone decide
+(the article and main elements, where there are any); repeated rows each give their row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,35 +24,40 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small
 
-#: Children that a wrapper node keeps, fingerprints that a node keeps, hosts that a task holds at once.
-MAX_KIDS, MAX_PRINTS, MAX_HOSTS = 48, 4, 2000
-#: From so many pages on a node can be constant: if one text has this share of them, beyond the share of whole copies.
+#: Hosts that a task holds at once; child lists of more pairs than this are aligned in numpy.
+MAX_HOSTS, LONG_CELLS = 2000, 4096
+#: Part of a node's pages that a fingerprint or child may have and yet not be kept while pages are folded.
+LOSSY = 16
+#: From so many distinct page bodies on a node can be constant: if one text has this share of them.
 MIN_PAGES, CONSTANT_SHARE = 4, 0.5
+#: Part of a page's text by which its body is known.
+BODY_SHARE = 0.8
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object select option button".split())
 DROPPED = RAW | frozenset("head nav footer aside form dialog menu audio video canvas label fieldset".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 b i em strong u span a code blockquote pre".split())
+FORMAT, WHOLE = frozenset("b i em strong u a code".split()), frozenset("# html body main article".split())
 CLOSES_P = BLOCK | frozenset("nav footer aside form menu".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar aside footer header masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond discussion disqus widget widgets toolbar pager pagination copyright legal disclaimer skip".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "kids", "dropped", "verdict")
+    __slots__ = ("tag", "label", "kids", "dropped", "verdict", "print")
 
     def __init__(self, tag: str, label: str, dropped: bool):
-        self.tag, self.label, self.kids, self.dropped, self.verdict = tag, label, [], dropped, False
+        self.tag, self.label, self.kids, self.dropped, self.verdict, self.print = tag, label, [], dropped, False, ""
 
 
 def parse(page: str) -> Node:
@@ -80,9 +87,8 @@ def parse(page: str) -> Node:
             if depth and stack[depth].tag == tag:
                 del stack[depth:]
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3].strip(" /") else {}
-        names = [w.lower() for w in _NAME.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")))]
-        inside = any(x.tag in ("article", "main") for x in stack)
-        dropped = tag in DROPPED or "hidden" in attrs or tag not in ("html", "body", "article", "main") and bool(WORDS.intersection(names)) or tag == "header" and not inside
+        names = [w.lower() for w in _NAME.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")))] if attrs else []
+        dropped = tag in DROPPED or "hidden" in attrs or tag not in ("html", "body", "article", "main") and bool(WORDS.intersection(names)) or tag == "header" and not any(x.tag in ("article", "main") for x in stack)
         node = Node(tag, f"{tag}.{'.'.join(sorted(names))}" if names else tag, dropped)
         stack[-1].kids.append(node)
         if tag in RAW and not m[3].endswith("/"):
@@ -95,57 +101,73 @@ def parse(page: str) -> Node:
     return root
 
 
-def _own_text(node: Node, out: list[str]) -> None:
-    for k in node.kids:
-        if isinstance(k, str):
-            out.append(k)
-        else:
-            _own_text(k, out)
+def _own_text(node: Node) -> str:
+    """The text of an element but for dropped ones in it; its fingerprint is noted, '' without any."""
+    text = "" if node.dropped else "".join([k if isinstance(k, str) else _own_text(k) for k in node.kids])
+    kept = text.strip()
+    node.print = f"{zlib.crc32(kept.encode('utf-8', 'replace')):x}-{len(kept):x}" if kept else ""
+    return text
 
 
-class View:
-    """Runs of siblings of one label as one node, with a fingerprint of their text."""
+def view(root: Node) -> list:
+    """[label, fingerprint of each element, elements, children] of a page; a run of siblings of one label is one node."""
+    _own_text(root)
+    return _view(root.label, [root])
 
-    __slots__ = ("label", "nodes", "kids", "print")
 
-    def __init__(self, label: str, nodes: list[Node]):
-        self.label, self.nodes = label, nodes
-        self.kids: list[View] = []
-        for node in nodes:
+def _view(label: str, nodes: list[Node]) -> list:
+    runs: list[tuple[str, list[Node]]] = []
+    for node in nodes:
+        if not node.dropped:
             for k in node.kids:
                 if not isinstance(k, str):
-                    if self.kids and self.kids[-1].label == k.label:
-                        self.kids[-1].nodes.append(k)
+                    if runs and runs[-1][0] == k.label:
+                        runs[-1][1].append(k)
                     else:
-                        v = View.__new__(View)
-                        v.label, v.nodes, v.kids, v.print = k.label, [k], [], ""
-                        self.kids.append(v)
-        self.kids = [View(k.label, k.nodes) for k in self.kids]
-        text: list[str] = []
-        for node in nodes:
-            _own_text(node, text)
-        text = "".join(text)
-        self.print = f"{zlib.crc32(text.encode('utf-8', 'replace')):x}-{len(text):x}" if text.strip() else ""
-
-
-def _size(a: dict, b: View, memo: dict) -> int:
+                        runs.append((k.label, [k]))
+    return [label, [n.print for n in nodes], nodes, [_view(*r) for r in runs]]
+
+
+def _bare(v: list) -> list:
+    """[label, distinct fingerprints, children]: what of a view is counted."""
+    return [v[0], sorted({p for p in v[1] if p}), [_bare(k) for k in v[3]]]
+
+
+def body_print(root: Node) -> int:
+    """One number for pages of the same body: a hash of the longest blocks that hold ``BODY_SHARE`` of the page's text
+    outside of dropped elements. Copies share it whatever their menus, footers and short blocks are."""
+    blocks: list[list[str]] = [[]]
+    _blocks(root, blocks)
+    texts = sorted((t for b in blocks if (t := " ".join("".join(b).split()))), key=lambda t: (-len(t), t))
+    left, taken = BODY_SHARE * sum(map(len, texts)), []
+    for t in texts:
+        if left <= 0:
+            break
+        left -= len(t)
+        taken.append(t)
+    return xxhash.xxh3_64_intdigest("\n\n".join(sorted(taken)).encode("utf-8", "replace")) - (1 << 63)
+
+
+def _size(a: list, b: list, memo: dict) -> int:
     """Nodes in the largest match of two trees of one label."""
     if (key := (id(a), id(b))) not in memo:
-        memo[key] = 1 + sum(s for _, _, s in _align(a["k"], b.kids, memo))
+        memo[key] = 1 + sum(s for _, _, s in _align(a[-1], b[-1], memo))
     return memo[key]
 
 
-def _align(a: list[dict], b: list[View], memo: dict) -> list[tuple[int, int, int]]:
+def _align(a: list[list], b: list[list], memo: dict) -> list[tuple[int, int, int]]:
     """Simple tree matching of two child lists: places that match, and their sizes."""
-    if len(a) == len(b) and all(x["l"] == y.label for x, y in zip(a, b, strict=True)):
+    if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b, strict=True)):
         return [(i, i, _size(x, y, memo)) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    if len(a) * len(b) > LONG_CELLS:
+        return [(i, j, _size(a[i], b[j], memo)) for i, j in _align_long(a, b)]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + _size(a[i], b[j], memo) if a[i]["l"] == b[j].label else 0)
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + _size(a[i], b[j], memo) if a[i][0] == b[j][0] else 0)
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
-        if a[i]["l"] == b[j].label and best[i][j] == best[i + 1][j + 1] + (s := _size(a[i], b[j], memo)):
+        if a[i][0] == b[j][0] and best[i][j] == best[i + 1][j + 1] + (s := _size(a[i], b[j], memo)):
             out.append((i, j, s))
             i, j = i + 1, j + 1
         elif best[i][j] == best[i + 1][j]:
@@ -155,59 +177,114 @@ def _align(a: list[dict], b: list[View], memo: dict) -> list[tuple[int, int, int
     return out
 
 
-def _as_wrapper(v: View) -> dict:
-    return {"l": v.label, "n": 1, "t": {v.print: 1} if v.print else {}, "k": [_as_wrapper(k) for k in v.kids[:MAX_KIDS]]}
-
+def _align_long(a: list[list], b: list[list]) -> list[tuple[int, int]]:
+    """The largest order-keeping match of two long child lists, row by row in numpy and halved as by Hirschberg, so
+    memory is linear; a pair weighs the smaller of its trees."""
+    labels = {x: i for i, x in enumerate({x[0] for x in (*a, *b)})}
+    la, lb = (np.array([labels[x[0]] for x in xs]) for xs in (a, b))
+    wa, wb = (np.array([_nodes(x) for x in xs]) for xs in (a, b))
+
+    def scores(la: np.ndarray, wa: np.ndarray, lb: np.ndarray, wb: np.ndarray) -> np.ndarray:
+        """Of all of ``a`` with each prefix of ``b``."""
+        row = np.zeros(len(lb) + 1, np.int64)
+        for label, w in zip(la, wa, strict=True):
+            row[1:] = np.maximum(row[1:], np.where(lb == label, row[:-1] + np.minimum(w, wb), 0))
+            np.maximum.accumulate(row, out=row)
+        return row
+
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        if i == k or j == m:
+            continue
+        if k - i == 1:
+            fit = np.where(lb[j:m] == la[i], np.minimum(wa[i], wb[j:m]), 0)
+            if fit.any():
+                out.append((i, j + int(fit.argmax())))
+            continue
+        half = (i + k) // 2
+        at = j + int((scores(la[i:half], wa[i:half], lb[j:m], wb[j:m]) + scores(la[half:k][::-1], wa[half:k][::-1], lb[j:m][::-1], wb[j:m][::-1])[::-1]).argmax())
+        todo += [(i, half, j, at), (half, k, at, m)]
+    return sorted(out)
 
-class _AsView:
-    """A wrapper in the part of a page's view, to merge two wrappers."""
 
-    __slots__ = ("label", "kids", "w")
+def _nodes(x: list) -> int:
+    return 1 + sum(map(_nodes, x[-1]))
 
-    def __init__(self, w: dict):
-        self.label, self.w, self.kids = w["l"], w, [_AsView(k) for k in w["k"]]
 
+def _as_wrapper(t: list) -> list:
+    """[label, pages, fingerprint -> [pages, pages it may have missed], pages missed, children] of a bare tree."""
+    return [t[0], 1, {p: [1, 0] for p in t[1]}, 0, [_as_wrapper(k) for k in t[2]]]
 
-def _count(into: dict, n: int, prints: dict) -> None:
-    into["n"] += n
-    for p, c in prints.items():
-        into["t"][p] = into["t"].get(p, 0) + c
-    while len(into["t"]) > MAX_PRINTS:  # the commonest stay
-        del into["t"][min(into["t"], key=lambda p: (into["t"][p], p))]
 
+def merge(a: list, b: list, memo: dict | None = None) -> None:
+    """Fold the wrapper ``b`` into the wrapper ``a`` of the same label.
 
-def merge(w: dict, v: View | _AsView, memo: dict | None = None) -> None:
-    """Fold a page, or another wrapper, into the wrapper ``w`` of the same label."""
+    Lossy counting (Manku and Motwani 2002): a fingerprint or child goes only when its pages and the pages that it may
+    have missed are together at most a ``LOSSY``-th of the node's; its place among its siblings does not matter."""
     memo = {} if memo is None else memo
-    other = v.w if isinstance(v, _AsView) else None
-    _count(w, other["n"] if other else 1, other["t"] if other else {v.print: 1} if v.print else {})
-    matched = {j: i for i, j, _ in _align(w["k"], v.kids, memo)}
+    before, other = a[1] // LOSSY, b[1] // LOSSY
+    a[1] += b[1]
+    least = a[1] // LOSSY
+    if other:
+        for p, c in a[2].items():
+            if p not in b[2]:
+                c[1] += other
+    for p, (n, missed) in b[2].items():
+        if p in a[2]:
+            a[2][p][0] += n
+            a[2][p][1] += missed
+        else:
+            a[2][p] = [n, missed + before]
+    matched = {j: i for i, j, _ in _align(a[4], b[4], memo)}
+    both = set(matched.values())
+    for i, k in enumerate(a[4]):
+        if other and i not in both:
+            k[3] += other
     kids, done = [], 0
-    for j, k in enumerate(v.kids):
+    for j, k in enumerate(b[4]):
         if j in matched:
-            kids += w["k"][done : matched[j] + 1]
+            kids += a[4][done : matched[j] + 1]
             done = matched[j] + 1
-            merge(w["k"][matched[j]], k, memo)
+            at = a[4][matched[j]]
+            merge(at, k, memo)
+            at[3] += k[3]
         else:
-            kids.append(k.w if isinstance(k, _AsView) else _as_wrapper(k))
-    kids += w["k"][done:]
-    if len(kids) > MAX_KIDS:
-        least = sorted(range(len(kids)), key=lambda i: (kids[i]["n"], -i))[: len(kids) - MAX_KIDS]
-        kids = [k for i, k in enumerate(kids) if i not in set(least)]
-    w["k"] = kids
-
-
-def _judge(w: dict, v: View, copies: float, memo: dict, inside: bool = False) -> None:
-    """Mark the nodes of a page that the wrapper finds constant. Headings and paragraphs of an article are not
-    marked: near copies of a page share them."""
-    tag = v.nodes[0].tag
-    inside = inside or tag in ("article", "main")
-    if not (inside and (tag in PROSE or tag in ("article", "main"))) and w["n"] >= MIN_PAGES and v.print and w["t"].get(v.print, 0) / w["n"] - copies >= CONSTANT_SHARE:
-        for node in v.nodes:
-            node.verdict = True
-        return
-    for i, j, _ in _align(w["k"], v.kids, memo):
-        _judge(w["k"][i], v.kids[j], copies, memo, inside)
+            k[3] += before
+            kids.append(k)
+    kids += a[4][done:]
+    if least > before:
+        a[2] = {p: c for p, c in a[2].items() if sum(c) > least}
+        kids = [k for k in kids if k[1] + k[3] > least]
+    a[4] = kids
+
+
+def _told(w: list, at: list[int]) -> list:
+    """[label, number of the node, fingerprints to be counted, children]."""
+    at[0] += 1
+    return [w[0], at[0] - 1, sorted(w[2]) if w[1] >= MIN_PAGES else [], [_told(k, at) for k in w[4]]]
+
+
+def _tally(w: list, t: list, host: str, counts: dict, memo: dict) -> None:
+    """Count a page for each node of its host's wrapper that it has, and for the node's fingerprints."""
+    counts[host, w[1], None] = counts.get((host, w[1], None), 0) + 1
+    for p in set(t[1]).intersection(w[2]):
+        counts[host, w[1], p] = counts.get((host, w[1], p), 0) + 1
+    for i, j, _ in _align(w[-1], t[-1], memo):
+        _tally(w[-1][i], t[-1][j], host, counts, memo)
+
+
+def _judge(w: list, v: list, constant: dict[int, set], memo: dict) -> None:
+    """Mark the elements of a page that the wrapper finds constant."""
+    same = constant.get(w[1], ())
+    for p, node in zip(v[1], v[2], strict=True):
+        node.verdict = p in same
+    if not all(n.verdict for n in v[2]):
+        running = any(isinstance(k, str) and k.strip() for n in v[2] if n.tag not in WHOLE for k in n.kids)
+        for i, j, _ in _align(w[-1], v[-1], memo):
+            if not (running and v[-1][j][2][0].tag in FORMAT):
+                _judge(w[-1][i], v[-1][j], constant, memo)
 
 
 def _blocks(node: Node, blocks: list[list[str]]) -> None:
@@ -236,43 +313,74 @@ def _mains(node: Node, out: list[Node]) -> None:
                 _mains(k, out)
 
 
-def extract(page: str, wrapper: dict | None) -> str:
+def extract(page: str, wrapper: tuple[list, dict[int, set], int] | None) -> str:
+    """The varying slots of a page; with too few pages for a wrapper, its article or main elements if it has any."""
     root = parse(page)
-    if wrapper is not None:
-        view = View("#", [root])
-        _judge(wrapper, view, max(wrapper["t"].values(), default=0) / wrapper["n"] if wrapper["n"] > 1 else 1.0, {})
-        root.verdict = False
     mains: list[Node] = []
-    _mains(root, mains)
+    if wrapper is not None and wrapper[2] >= MIN_PAGES:
+        _judge(wrapper[0], view(root), wrapper[1], {})
+        root.verdict = False
+    else:
+        _mains(root, mains)
     blocks: list[list[str]] = [[]]
     for m in mains or [root]:
         _blocks(m, blocks)
         blocks.append([])
-    text = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks if b)
+    text = (" ".join(html.unescape("".join(b)).split()) for b in blocks if b)
     return "\n\n".join(t for t in text if t)
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON): one row a host, from all its pages."""
-    rows = _hosts(pages).select("host", "html")
+def page_bodies(pages: DataFrame) -> DataFrame:
+    """host, tree (JSON): one row for each distinct body of a host's pages."""
 
-    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[str, dict] = {}
+    def trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
+            out = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 if page:
-                    view = View("#", [parse(page)])
-                    if host in by:
-                        merge(by[host], view)
-                    else:
-                        by[host] = _as_wrapper(view)
+                    root = parse(page)
+                    row = host, body_print(root), json.dumps(_bare(view(root)), separators=(",", ":"))
+                    key = host, row[1], hash(row[2])
+                    if key not in seen:  # only saves work: what is not caught here is below
+                        if len(seen) > 100_000:
+                            seen.clear()
+                        seen.add(key)
+                        out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], ["host", "body", "tree"])
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            keep = []
+            for key in zip(batch.column("host").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                keep.append(key != last)
+                last = key
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["host", "tree"])
+
+    rows = _hosts(pages).select("host", "html").mapInArrow(trees, "host string, body bigint, tree string")
+    return rows.repartition("host", "body").sortWithinPartitions("host", "body", "tree").mapInArrow(first, "host string, tree string")
+
+
+def induce(bodies: DataFrame) -> DataFrame:
+    """host, wrapper (JSON): one row a host, from all its bodies."""
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[str, list] = {}
+        for batch in batches:
+            for host, tree in zip(batch.column("host").to_pylist(), batch.column("tree").to_pylist(), strict=True):
+                w = _as_wrapper(json.loads(tree))
+                if host in by:
+                    merge(by[host], w)
+                else:
+                    by[host] = w
                 if len(by) >= MAX_HOSTS:
                     yield told(by)
                     by = {}
         if by:
             yield told(by)
 
-    def told(by: dict[str, dict]) -> pa.RecordBatch:
+    def told(by: dict[str, list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(by), pa.string()), pa.array([json.dumps(w) for w in by.values()], pa.string())], ["host", "wrapper"])
 
     def unite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,18 +389,52 @@ def induce(pages: DataFrame) -> DataFrame:
             for h, x in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
                 x = json.loads(x)
                 if h == host:
-                    merge(w, _AsView(x))
+                    merge(w, x)
                 else:
                     if host is not None:
-                        yield told({host: w})
+                        yield told({host: _told(w, [0])})
                     host, w = h, x
         if host is not None:
-            yield told({host: w})
+            yield told({host: _told(w, [0])})
 
-    parts = rows.mapInArrow(fold, "host string, wrapper string")
+    parts = bodies.mapInArrow(fold, "host string, wrapper string")
     return parts.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(unite, "host string, wrapper string")
 
 
+def _joined(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    size = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
+    return rows.join(F.broadcast(wrappers) if small(wrappers, 64) and size <= 32 << 20 else wrappers, "host", "left")
+
+
+def judged(bodies: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, wrapper, bodies, constant: exact counts of all bodies say which fingerprints of a node are constant."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list] = {}
+        counts: dict[tuple, int] = {}
+        for batch in batches:
+            for host, tree, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "tree", "wrapper")), strict=True):
+                if host not in known:
+                    if len(known) >= MAX_HOSTS:
+                        known.clear()
+                    known[host] = json.loads(wrapper)
+                _tally(known[host], json.loads(tree), host, counts, {})
+                if len(counts) > 200_000:
+                    yield told(counts)
+                    counts = {}
+        yield told(counts)
+
+    def told(counts: dict[tuple, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in counts], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))), pa.array(list(counts.values()), pa.int64())], ["host", "node", "print", "c"])
+
+    rows = _joined(bodies, wrappers).select("host", "tree", "wrapper").mapInArrow(count, "host string, node int, print string, c bigint")
+    rows = rows.groupBy("host", "node", "print").agg(F.sum("c").alias("c"))
+    rows = rows.withColumn("n", F.max(F.when(F.col("print").isNull(), F.col("c"))).over(Window.partitionBy("host", "node")))
+    same = (F.col("print").isNotNull()) & (F.col("n") >= MIN_PAGES) & (F.col("c") >= CONSTANT_SHARE * F.col("n"))
+    told_ = rows.groupBy("host").agg(F.max(F.when(F.col("node") == 0, F.col("n"))).alias("bodies"), F.collect_list(F.when(same, F.concat_ws(" ", "node", "print"))).alias("constant"))
+    return wrappers.join(told_, "host")
+
+
 def _hosts(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))))
 
@@ -300,20 +442,28 @@ def _hosts(pages: DataFrame) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    wrappers = cut(pages.sparkSession, induce(pages), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
-    side = F.broadcast(wrappers) if small(wrappers, 64) and size <= 32 << 20 else wrappers
-    rows = _hosts(pages).join(side, "host", "left").select("page_id", "url", "html", "host", "wrapper")
+    spark = pages.sparkSession
+    bodies = cut(spark, page_bodies(pages), "bodies")
+    wrappers = cut(spark, judged(bodies, cut(spark, induce(bodies), "wrappers")), "judged")
+    rows = _joined(_hosts(pages), wrappers).select("page_id", "url", "html", "host", "wrapper", "bodies", "constant")
+
+    def load(wrapper: str, bodies: int, constant: list[str]) -> tuple[list, dict[int, set], int]:
+        by: dict[int, set] = {}
+        for x in constant:
+            node, p = x.split(" ")
+            by.setdefault(int(node), set()).add(p)
+        return json.loads(wrapper), by, bodies
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for page, host, wrapper in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "wrapper")), strict=True):
-                if wrapper is not None and host not in known:
+            told = [batch.column(c) for c in ("wrapper", "bodies", "constant")]
+            for i, (page, host) in enumerate(zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True)):
+                if host not in known and told[0][i].is_valid:
                     if len(known) >= MAX_HOSTS:
                         known.clear()
-                    known[host] = json.loads(wrapper)
+                    known[host] = load(*(c[i].as_py() for c in told))
                 texts.append(extract(page, known.get(host)) if page else "")
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
