@@ -234,6 +234,17 @@ def test_html_wrapper_decides(spark):
     assert texts_of(spark, [page.replace("{0}", f"n{i}") for i in range(8)]) == [f"the main text n{i} of this page\n\nteaser n{i}" for i in range(8)]
 
 
+def test_html_copies(spark):
+    page = "<body><div class='x'>Always here</div><div class='y'>own text of page {0}</div><div class='z'>{1}</div></body>"
+    # exact copies are most of a host's pages
+    got = texts_of(spark, [page.format(0, "")] * 12 + [page.format(i, "") for i in range(1, 7)])
+    assert got == ["own text of page 0"] * 12 + [f"own text of page {i}" for i in range(1, 7)]
+    # near copies are: one body, and menus and endings of their own
+    body = " ".join(f"word{k}" for k in range(60))
+    near = [f"<body><nav>menu {i}</nav><div class='y'>{body}</div><div class='z'>end {i}</div></body>" for i in range(12)]
+    assert texts_of(spark, near + [page.format(i, f"end {i}") for i in range(20, 26)])[:12] == [f"{body}\n\nend {i}" for i in range(12)]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
