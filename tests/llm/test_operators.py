@@ -245,6 +245,26 @@ def test_html_copies(spark):
     assert texts_of(spark, near + [page.format(i, f"end {i}") for i in range(20, 26)])[:12] == [f"{body}\n\nend {i}" for i in range(12)]
 
 
+def test_html_long_flat_pages(spark):
+    # template behind more than 48 runs of siblings, and a text that most pages share after copies of others
+    flat = lambda i: "<body>" + "".join(f"<h3>t {i} {k}</h3><p>u {i} {k}</p>" for k in range(40 + i % 3)) + "<div>Template end</div></body>"
+    got = texts_of(spark, [flat(i) for i in range(9)])
+    assert all("Template" not in t and t.count("t ") == 40 + i % 3 for i, t in enumerate(got))
+    twice = [f"<body><div>old {i // 2}</div><p>own {i} text of a page</p></body>" for i in range(12)]
+    hot = [f"<body><div>Hot notice</div><p>own {i} text of a page</p></body>" for i in range(12, 60)]
+    assert texts_of(spark, twice + hot)[12:] == [f"own {i} text of a page" for i in range(12, 60)]
+    # no majority text is lost while pages are folded, in whatever order
+    for order in (1, -1):
+        trees = ([["#", [f"a{i // 2}"], []] for i in range(90)] + [["#", ["hot"], []] for _ in range(110)])[::order]
+        w = html_extract._as_wrapper(trees[0])
+        for t in trees[1:]:
+            html_extract.merge(w, html_extract._as_wrapper(t))
+        assert w[2]["hot"][0] == 110 and len(w[2]) < 60
+    a = [["abc"[i * i % 3], []] for i in range(100)]
+    pairs = html_extract._align_long(a, a[:30] + a[60:])
+    assert len(pairs) == 70 and all(a[i][0] == (a[:30] + a[60:])[j][0] for i, j in pairs)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
