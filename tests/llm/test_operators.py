@@ -126,6 +126,21 @@ def test_ngram_join(spark, docs, empty, monkeypatch):
     assert kept.columns == docs.columns
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    near = BASE + " one more"
+    rows = [(None, prose(40)) for _ in range(5)] + [(7, prose(40)) for _ in range(3)] + [(None, BASE), (None, near), (9, near), (7, near + " two"), (8, prose(30)), (None, None), (None, ""), (8, "")]
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = ngram_join.keep_one_of_each(data)
+    assert kept.columns == ["doc_id", "text"]
+    want = rows[:8] + [(7, near + " two")] + rows[12:]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+    # links of a text that only null ids hold
+    got = ngram_join.near_duplicate_components(spark.createDataFrame([(None, BASE), (3, near), (2, near + " two")], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(None, 2), (3, 2), (2, 2)}
+    only = spark.createDataFrame([(None, BASE), (None, near), (None, prose(40))], "doc_id long, text string")
+    assert ngram_join.keep_one_of_each(only).count() == 2
+
+
 def test_suffix_dedup(docs, empty):
     got = by_id(suffix_dedup.remove_repeats(docs, texts=True))
     seen: dict[bytes, int] = {}

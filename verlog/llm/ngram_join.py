@@ -17,19 +17,20 @@ similarity is at least ``PERCENT`` / 100. The join is exact up to collisions of
    ever listed.
 
 Defined results: null and empty texts, and those of white space, have no set (size 0) and link with nothing; with
-fewer than five words the whole sequence is the one element; repeated rows and copies share a component; a null
-doc_id keeps its row and is no component's name unless all its members are null; other columns are ignored; an
-empty table gives no rows.
+fewer than five words the whole sequence is the one element; repeated rows and copies share a component; rows of null
+or repeated doc_id link by their texts as any other, by a number of each row; a null doc_id is no component's name
+unless all its members are null; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, drop_cut, small
@@ -319,6 +320,28 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    if not _one_id_a_row(docs):  # rows link by numbers of their own; a component is named by its smallest doc_id
+        rows = _numbered(spark, docs)
+        found = _components(rows.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+        found = cut(spark, found.join(rows.select("row", F.col("doc_id").cast("long").alias("doc_id")), "row"), "numbered")
+        names = found.groupBy("component_id").agg(F.min("doc_id").alias("name"))
+        return found.join(names, "component_id").select("doc_id", "n_shingles", F.col("name").alias("component_id"))
+    return _components(docs)
+
+
+def _one_id_a_row(docs: DataFrame) -> bool:
+    ids = docs.agg(F.count("*").alias("n"), F.countDistinct(F.col("doc_id").cast("long")).alias("d")).first()
+    return ids["n"] == ids["d"]
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written out once so that it stays the same."""
+    return cut(spark, docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _components(docs: DataFrame) -> DataFrame:
+    """``near_duplicate_components`` of rows whose doc_id is theirs alone."""
+    spark = docs.sparkSession
     both = cut(spark, shingle_table(docs), "shingles")
     table = both.where("bitmap is not null")
     top = both.where("bitmap is null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_SHINGLES).select("key").collect()  # bounded by HOT_SHINGLES
@@ -346,9 +369,18 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of each component's smallest doc_id, with all its columns; one of them where rows share that doc_id."""
+    """One row of each component, with all its columns: that of the smallest doc_id, a null one last; of rows that share
+    it the first as written. Rows without a set are components of their own, so each stays, whatever its doc_id."""
     spark = docs.sparkSession
-    kept = cut(spark, near_duplicate_components(docs).where("doc_id = component_id or component_id is null").select("doc_id").distinct(), "kept")
+    if _one_id_a_row(docs):
+        kept = cut(spark, _components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id"), "kept")
+        side = F.broadcast(kept) if small(kept, 16) else kept
+        return docs.join(side, docs["doc_id"].cast("long") == side["doc_id"], "left_semi")
+    number = f"row_{uuid.uuid4().hex}"
+    rows = cut(spark, docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = _components(rows.select(F.col(number).alias("doc_id"), "text")).withColumnRenamed("doc_id", number)
+    found = found.join(rows.select(number, F.col("doc_id").cast("long").alias("doc_id")), number)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", number)).alias("first")
+    kept = cut(spark, found.groupBy("component_id").agg(first).select(F.col(f"first.{number}").alias(number)), "kept")
     side = F.broadcast(kept) if small(kept, 16) else kept
-    out = docs.join(side, docs["doc_id"].eqNullSafe(side["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if docs.count() != docs.select("doc_id").distinct().count() else out
+    return rows.join(side, number, "left_semi").drop(number)
