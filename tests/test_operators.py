@@ -95,3 +95,25 @@ def test_changefeed_resumes(spark, tmp_path):
     assert rows(log.scan(materialized(spark, sink))) == [("b", "y"), ("é", "ü")]
     write_cdc(observe.cdc_events(one), str(tmp_path / "again"))
     assert rows(decode_cdc(spark.createDataFrame([("nonsense",), ('{"v":2,"seq":1}',)], "value string")).select("error")) == [(True,), (True,)]
+
+
+def test_queries_over_all_events(spark):
+    from verlog.plans import catalog
+    from verlog.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    events = [tuple(r) for r in tables.event_log(spark, d).select("key", "seq", "op", "value").collect()]
+    by = {}
+    for key, seq, op, value in sorted(events, key=lambda r: r[1]):
+        by.setdefault(key, []).append((seq, value if op == "put" else None))
+    reads = [(seq, key, seq - 50) for key, seq, _, _ in events]
+    want = [(t, k, at, next((v for s, v in reversed(by[k]) if s <= at), None)) for t, k, at in reads]
+    order = lambda rows: sorted(map(repr, map(tuple, rows)))
+    assert order(catalog.QUERIES["txn_snapshot_read_all"](spark, d).select("txn", "key", "snapshot", "value").collect()) == order(want)
+    want = [r for r in reads if by[r[1]][-1][0] - 100 > r[2]]
+    assert order(catalog.QUERIES["txn_conflicts_all"](spark, d).select("txn", "key", "snapshot").collect()) == order(want)
+    terms = {}
+    for r in tables.table(spark, d, "events").select("event_id", "user_id").collect():
+        terms.setdefault(r["event_id"] // 100, set()).add(r["user_id"] % 3)
+    want = [(t, len(x)) for t, x in terms.items() if len(x) > 1]
+    assert order(catalog.QUERIES["leader_per_term_all"](spark, d).select("term", "leaders").collect()) == order(want)

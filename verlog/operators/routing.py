@@ -86,15 +86,20 @@ def clashing_prefixes(tenants: DataFrame) -> DataFrame:
 
 
 def snapshot_reads(reads: DataFrame, log: DataFrame) -> DataFrame:
-    """As-of join: reads (txn, key, snapshot) with the newest version at their snapshot; null for none or a tombstone."""
-    hit = reads.join(log.select("key", "seq", "op", "value"), "key").where("seq <= snapshot")
-    best = hit.groupBy("txn", "key", "snapshot").agg(F.max_by(F.struct("op", "value"), "seq").alias("x"))
-    return reads.join(best, ["txn", "key", "snapshot"], "left").select("txn", "key", "snapshot", F.col("x.value").alias("value"))
+    """As-of join: reads (txn, key, snapshot) with the newest version at their snapshot; null for none or a tombstone.
+
+    Reads and versions of a key are sorted together once, so a key of many versions costs no product. Of versions of one
+    seq the greatest (op, value) is taken."""
+    v = log.where("seq is not null and key is not null").select("key", F.col("seq").alias("at"), F.lit(0).alias("is_read"), F.lit(None).cast(reads.schema["txn"].dataType).alias("txn"), F.lit(None).cast(reads.schema["snapshot"].dataType).alias("snapshot"), F.struct("op", "value").alias("x"))
+    r = reads.select("key", F.col("snapshot").alias("at"), F.lit(1).alias("is_read"), "txn", "snapshot", F.lit(None).cast(v.schema["x"].dataType).alias("x"))
+    so_far = Window.partitionBy("key").orderBy("at", "is_read", "x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return v.unionByName(r).withColumn("x", F.last("x", ignorenulls=True).over(so_far)).where("is_read = 1").select("txn", "key", "snapshot", F.col("x.value").alias("value"))
 
 
 def write_conflicts(writes: DataFrame, log: DataFrame) -> DataFrame:
-    """Writes (txn, key, snapshot) for which a later version is committed."""
-    return writes.join(log.select(F.col("key").alias("k"), F.col("seq").alias("s")), (F.col("key") == F.col("k")) & (F.col("s") > F.col("snapshot")), "left_semi")
+    """Writes (txn, key, snapshot) for which a later version is committed: the last one of the key tells."""
+    last = log.groupBy(F.col("key").alias("k")).agg(F.max("seq").alias("s"))
+    return writes.join(last, (F.col("key") == F.col("k")) & (F.col("s") > F.col("snapshot")), "left_semi")
 
 
 def recover_2pc(records: DataFrame, decisions: DataFrame) -> DataFrame:

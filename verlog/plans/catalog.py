@@ -230,6 +230,22 @@ def txn_conflicts(spark, d):
     return routing.write_conflicts(_reads(spark, d), shifted)
 
 
+def _all_reads(spark, d):
+    """Each event reads its key, and writes it, at a snapshot of 50 versions before."""
+    return T.event_log(spark, d).select(F.col("seq").alias("txn"), "key", (F.col("seq") - 50).alias("snapshot"))
+
+
+@query()
+def txn_snapshot_read_all(spark, d):
+    return routing.snapshot_reads(_all_reads(spark, d), T.event_log(spark, d))
+
+
+@query()
+def txn_conflicts_all(spark, d):
+    shifted = T.event_log(spark, d).withColumn("seq", F.col("seq") - 100)
+    return routing.write_conflicts(_all_reads(spark, d), shifted)
+
+
 def _records(spark, d):
     o = T.table(spark, d, "orders")
     rec = o.select(F.col("o_orderkey").alias("txn"), F.expr("cast(o_orderkey % 5 + 1 as int)").alias("state"))
@@ -359,6 +375,12 @@ def leader_per_term(spark, d):
     return routing.unsafe_terms(e.select(F.expr("event_id div 100").alias("term"), F.expr("user_id % 3").alias("leader")))
 
 
+@query()
+def leader_per_term_all(spark, d):
+    e = T.table(spark, d, "events")
+    return routing.unsafe_terms(e.select(F.expr("event_id div 100").alias("term"), F.expr("user_id % 3").alias("leader")))
+
+
 @query(f"{WITH} select key from {latest('L')} where op = 'put' and seq % 7 = 0 and key > 'user:000010'")
 def state_convergence(spark, d):
     s = log.versions_at(T.event_log(spark, d)).where("op = 'put'")
