@@ -287,3 +287,26 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < out.count() <= 200
     assert public_tokenizers.PATTERN == PATTERN and out.where(F.col("n_tokens") < 0).count() == 0
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """The rows of a run on a small fixture against brute force: near copies by pairs, passages by search, ids by the library."""
+    import corpus_pipeline
+
+    passage = " ".join(f"bench{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(30))
+    words = [f"{a}{b}word" for a in "abcdefgh" for b in "ijklmnop"]
+    texts = [" ".join(random.choice(words) for _ in range(60)) for _ in range(12)]
+    texts += [texts[0], texts[1] + " ending", passage, "", ""]
+    d = tmp_path / "small"
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    _, root = components(texts)
+    want = set()
+    for i, t in enumerate(texts):
+        if root[i] == i and passage not in t:
+            ids = lib.encode_ordinary(t)
+            want.add((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    got = [tuple(r) for r in corpus_pipeline.run(spark, str(d)).collect()]
+    assert len(got) == len(want) == 14 and set(got) == want
