@@ -3,18 +3,20 @@
 A document's set holds its distinct word shingles as 64-bit hashes. Two documents link when their sets' Jaccard
 similarity is at least ``PERCENT`` / 100. The join is exact up to collisions of 64-bit hashes:
 
-1. ``shingle_table``: per document the set's size, a key (hash of the whole set) and a bitmap of hash parities.
-   Documents of equal sets share a key and are one from here on, however many copies there are.
+1. ``shingle_table``: per document the set's size, a key (hash of the whole set) and a bitmap of hash parities, of as
+   many bits as the set has elements, rounded up to a power of two. Documents of equal sets share a key and are one
+   from here on, however many copies there are.
 2. ``_postings``: two linked sets share an element among the first ``n - ceil(0.8 n) + 1`` of any common order. The
-   order puts shingles seen in many documents last (a list of fixed size, broadcast), so a passage that a third of
-   the documents share does not gather them. Postings travel as binary blocks of a hash range.
+   order puts shingles last that are seen often (counted over all documents; a list of fixed size, broadcast), so a
+   passage that a third of the documents share does not gather them. Postings travel as blocks of a hash range.
 3. ``_candidates``: within a posting group, sorted by set size, small groups give all pairs of fitting sizes. A large
    one gives its chain and its stars: each member with its neighbour and with the first member of its size band.
-4. ``_verify``: texts meet in tiles of bounded size; the bitmaps' differing bits bound the overlap from above, and
-   sorted arrays are intersected only where that bound passes.
-5. Large groups whose members are not all in one component yet are compared in full, in tiles of a size band, and by
-   bitmaps first; what passes is verified. So no link between different components is lost, and no group's pairs are
-   ever listed.
+4. ``_passing``: pairs meet both bitmaps; differing bits are differing elements, which bounds the overlap from above.
+   Only pairs that pass go on, so a text moves only where a link is likely.
+5. ``_verify``: texts of passing pairs meet in tiles of bounded size, where sorted arrays are intersected.
+6. Large groups whose members are not all in one component yet are compared in full, in tiles of a size band, by
+   bitmaps; what passes is verified. So no link between different components is lost, and no group's pairs are ever
+   listed.
 
 Defined results: null and empty texts, and those of white space, have no set (size 0) and link with nothing; with
 fewer than five words the whole sequence is the one element; repeated rows and copies share a component; rows of null
@@ -36,11 +38,16 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, drop_cut, small
 
 SHINGLE, PERCENT = 5, 80
-#: Shingles that are ordered last, at most: eight bytes each are broadcast.
-HOT_SHINGLES, HOT_LEAST = 65_536, 8
-BITMAP_BITS = 1024
-#: Posting groups up to this size give all their pairs; postings of a hash range and documents of a tile, about.
-SMALL_GROUP, RANGE_POSTINGS, TILE_DOCS = 16, 400_000, 256
+#: Shingles that are ordered last, at most: eight bytes each are broadcast. Elements that are counted together, and how
+#: often one must be among them to be reported.
+HOT_SHINGLES, HOT_LEAST, HOT_WINDOW = 65_536, 3, 4_000_000
+#: Bits of the shortest bitmap.
+LEAST_BITS = 128
+#: Posting groups up to this size give all their pairs; postings of a hash range, pairs of a tile and members of a
+#: block of a large group, about.
+SMALL_GROUP, RANGE_POSTINGS, TILE_PAIRS, BLOCK = 16, 1_000_000, 2048, 8192
+#: Words kept by a worker, and documents whose sets it holds at once.
+MEMO_WORDS, SLICE = 150_000, 1000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _U = np.uint64
 
@@ -53,7 +60,7 @@ class WordHashes(dict):
 
         h = xxhash.xxh3_64_digest(word)
         if len(word) <= 48:
-            if len(self) > 500_000:
+            if len(self) > MEMO_WORDS:
                 self.clear()
             self[word] = h
         return h
@@ -75,9 +82,9 @@ def _known() -> WordHashes:
     return _known.kept
 
 
-def shingles(text: str, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = text.encode().lower().split()
+def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text in UTF-8."""
+    words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.frombuffer(b"".join(map(hashes.__getitem__, words)), np.uint64)
@@ -91,9 +98,39 @@ def shingles(text: str, hashes: WordHashes) -> np.ndarray:
     return s[np.append(True, s[1:] != s[:-1])] if n > 1 else s
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
+def _bitmap(s: np.ndarray) -> bytes:
     """Each bit is the parity of the number of elements that fall on it: differing bits of two bitmaps are differing elements."""
-    return np.packbits((np.bincount((s % _U(BITMAP_BITS)).astype(np.int64), minlength=BITMAP_BITS) & 1).astype(np.uint8))
+    bits = max(LEAST_BITS, 1 << (len(s) - 1).bit_length() if len(s) else 0)
+    return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (or rows of them) of ``size`` bytes: its halves laid on each other keep their parities."""
+    while x.shape[-1] > size:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum())
+
+
+def _first(n: int) -> int:
+    """How many elements of a set of ``n`` must be looked at to meet a linked one's."""
+    return n - -(-PERCENT * n // 100) + 1
+
+
+def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int]]]:
+    """Slices of the input with the sets of their texts and the keys of these."""
+    hashes = _known()
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
+            sets = [shingles(t or b"", hashes) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield batch, sets, [_key(s) for s in sets]
 
 
 def _key(s: np.ndarray) -> int:
@@ -107,20 +144,29 @@ def _longs(x: np.ndarray) -> pa.Array:
 
 
 def shingle_table(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n, bitmap; and, with a null bitmap, rows of shingles (key) that n documents of a batch share."""
+    """doc_id, key, n, bitmap; and, with a null bitmap, rows of shingles (key) that n documents of a window share."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    names = ["doc_id", "key", "n", "bitmap"]
+
+    def often(parts: list[np.ndarray]) -> pa.RecordBatch:
+        s, n = np.unique(np.concatenate(parts), return_counts=True)
+        s, n = s[n >= HOT_LEAST], n[n >= HOT_LEAST]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(s), pa.int64()), _longs(s), pa.array(n.astype(np.int32)), pa.nulls(len(s), pa.binary())], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _known()
-        for batch in batches:
-            sets = [shingles(t or "", hashes) for t in batch.column("text").to_pylist()]
-            keys = [_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_bitmap(s).tobytes() for s in sets], pa.binary())], ["doc_id", "key", "n", "bitmap"])
-            own = list({k: s for k, s in zip(keys, sets, strict=True) if len(s)}.values())
-            if own:
-                s, n = np.unique(np.concatenate(own), return_counts=True)
-                s, n = s[n >= HOT_LEAST], n[n >= HOT_LEAST]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(s), pa.int64()), _longs(s), pa.array(n.astype(np.int32)), pa.nulls(len(s), pa.binary())], ["doc_id", "key", "n", "bitmap"])
+        seen, parts, size = set(), [], 0
+        for batch, sets, keys in _sets(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_bitmap(s) for s in sets], pa.binary())], names)
+            for k, s in zip(keys, sets, strict=True):
+                if len(s) and k not in seen:  # an element can matter only among the first of a set
+                    seen.add(k)
+                    parts.append(s[: 2 * _first(len(s))].copy())
+                    size += len(parts[-1])
+            if size > HOT_WINDOW:
+                yield often(parts)
+                seen, parts, size = set(), [], 0
+        if parts:
+            yield often(parts)
 
     return rows.mapInArrow(run, "doc_id bigint, key bigint, n int, bitmap binary")
 
@@ -131,32 +177,42 @@ def _postings(docs: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
     last = spark.sparkContext.broadcast(hot)  # bounded by HOT_SHINGLES
     rows = docs.select(docs["text"].cast("string").alias("text"))
 
+    def blocks(h: list, k: list, n: list) -> pa.RecordBatch:
+        each = [len(x) for x in h]
+        h, k, n = np.concatenate(h), np.repeat(np.array(k, np.int64), each), np.repeat(np.array(n, np.int32), each)
+        place = (h >> _U(64 - bits)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        h, k, n, place = h[order], k[order], n[order], place[order]
+        edge = np.flatnonzero(np.diff(place)) + 1
+        parts = list(zip([0, *edge.tolist()], [*edge.tolist(), len(h)], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([int(place[a]) for a, _ in parts], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (h, k, n))], ["range", "h", "k", "n"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, late = _known(), last.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2500):
-                seen, h, k, n = set(), [], [], []
-                for t in whole.column("text").slice(at, 2500).to_pylist():
-                    s = shingles(t or "", hashes)
-                    if not len(s) or (key := _key(s)) in seen:
-                        continue
-                    seen.add(key)
-                    size = len(s) - -(-PERCENT * len(s) // 100) + 1
-                    is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s if len(late) else np.zeros(len(s), bool)
-                    early = s[~is_late]
-                    h.append(early[:size] if len(early) >= size else np.concatenate([early, s[is_late][: size - len(early)]]))
-                    k.append(key)
-                    n.append(len(s))
-                if not k:
+        late = last.value
+        seen, h, k, n, size = set(), [], [], [], 0
+        for _, sets, keys in _sets(batches):
+            for key, s in zip(keys, sets, strict=True):
+                if not len(s) or key in seen:
                     continue
-                each = [len(x) for x in h]
-                h, k, n = np.concatenate(h), np.repeat(np.array(k, np.int64), each), np.repeat(np.array(n, np.int32), each)
-                place = (h >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                order = np.argsort(place, kind="stable")
-                h, k, n, place = h[order], k[order], n[order], place[order]
-                edge = np.flatnonzero(np.diff(place)) + 1
-                parts = list(zip([0, *edge.tolist()], [*edge.tolist(), len(h)], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([int(place[a]) for a, _ in parts], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in parts], pa.binary()) for x in (h, k, n))], ["range", "h", "k", "n"])
+                seen.add(key)
+                want = _first(len(s))
+                early = s[: 2 * want]
+                is_late = late[np.minimum(np.searchsorted(late, early), len(late) - 1)] == early if len(late) else np.zeros(len(early), bool)
+                early = early[~is_late]
+                if len(early) < want and 2 * want < len(s):
+                    is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                    early = s[~is_late]
+                if len(early) < want:
+                    early = np.concatenate([early, s[is_late][: want - len(early)]])
+                h.append(early[:want].copy())
+                k.append(key)
+                n.append(len(s))
+                size += want
+            if size > 400_000:
+                yield blocks(h, k, n)
+                seen, h, k, n, size = set(), [], [], [], 0
+        if k:
+            yield blocks(h, k, n)
 
     return rows.mapInArrow(run, "range int, h binary, k binary, n binary")
 
@@ -208,28 +264,54 @@ def _candidates(postings: DataFrame, bits: int) -> DataFrame:
     return postings.repartition(1 << bits, "range").mapInArrow(run, "kind byte, a bigint, b bigint")
 
 
+def _fits(n: int, m: int, differing: int) -> bool:
+    """Whether sets of these sizes can be linked: 2 * overlap <= n + m - differing; linked: overlap >= p / (100 + p) * (n + m)."""
+    return (100 + PERCENT) * (n + m - differing) >= 2 * PERCENT * (n + m)
+
+
+def _passing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose bitmaps do not rule them out."""
+    left = sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bits_a"))
+    right = sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bits_b"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
+            keep = [_fits(n, m, _differing(x, y)) for n, m, x, y in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(pairs.sparkSession, rows.mapInArrow(run, "a bigint, b bigint"), "passing")
+
+
 def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose sets link, but for those that follow from other links of their tile.
 
-    A pair goes to the tile of the least key near it; a tile of many pairs is split by hashes of b."""
+    A pair goes to the tile of the key of most pairs near it; a tile of many pairs is split by hashes of them."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("other")))
-    near = ends.groupBy("key").agg(F.least("key", F.min("other")).alias("tile"))
-    placed = pairs.join(near.withColumnRenamed("key", "a"), "a")
-    many = placed.groupBy("tile").agg(F.count("*").alias("m"))
-    placed = placed.join(many, "tile").select(F.xxhash64("tile", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / (4 * TILE_DOCS)))).alias("tile"), "a", "b")
-    placed = cut(spark, placed, "tiles")
-    wanted = placed.select("tile", F.col("a").alias("key")).unionByName(placed.select("tile", F.col("b").alias("key"))).distinct()
+    degree = ends.groupBy("key").agg(F.count("*").alias("m"))
+    rank = F.struct((-F.col("m")).alias("m"), F.col("other").alias("key"))
+    near = ends.join(degree.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min(rank).alias("best"))
+    near = near.join(degree, "key").select("key", F.least("best", F.struct((-F.col("m")).alias("m"), "key")).alias("best"))
+    placed = pairs.join(near.select(F.col("key").alias("a"), F.col("best").alias("x")), "a").join(near.select(F.col("key").alias("b"), F.col("best").alias("y")), "b")
+    placed = cut(spark, placed.select(F.least("x", "y")["key"].alias("lead"), "a", "b"), "placed")
+    many = placed.groupBy("lead").agg(F.count("*").alias("pairs")).where(F.col("pairs") > TILE_PAIRS)
+    many = cut(spark, many, "many")  # at most a row for each TILE_PAIRS pairs
+    placed_in = placed.join(F.broadcast(many) if small(many, 32) else many, "lead", "left")
+    block = F.pmod(F.xxhash64("a", "b"), F.ceil(F.coalesce("pairs", F.lit(1)) / TILE_PAIRS))
+    tiles = cut(spark, placed_in.select(F.xxhash64("lead", block).alias("tile"), "a", "b"), "tiles")
+    wanted = tiles.select("tile", F.col("a").alias("key")).unionByName(tiles.select("tile", F.col("b").alias("key"))).distinct()
     wanted = cut(spark, wanted.join(reps.select("key", "rep"), "key"), "wanted")
     side = F.broadcast(wanted) if small(wanted, 32) else wanted
     texts = docs.select(docs["doc_id"].cast("long").alias("rep"), docs["text"].cast("string").alias("text")).join(side, "rep")
-    rows = texts.select("tile", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(placed.select("tile", "a", "b", F.lit(None).cast("string").alias("text")))
-    rows = rows.repartition("tile").sortWithinPartitions("tile")
+    rows = texts.select("tile", F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "text").unionByName(tiles.select("tile", "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition("tile").sortWithinPartitions("tile", F.col("text").isNull())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, tile, sets, todo = _known(), None, {}, []
 
-        def links() -> list[tuple[int, int]]:
+        def links() -> pa.RecordBatch:
             root: dict[int, int] = {}
             out = []
 
@@ -242,60 +324,53 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
             for a, b in todo:
                 if (ra := find(a)) == (rb := find(b)) or a not in sets or b not in sets:
                     continue
-                (x, mx), (y, my) = sets[a], sets[b]
-                total = len(x) + len(y)
-                # differing bits are differing elements: 2 * overlap <= total - bits; linked: overlap >= p/(100+p) * total
-                if (100 + PERCENT) * (total - int(np.bitwise_count(mx ^ my).sum())) < 2 * PERCENT * total:
-                    continue
-                both = total - len(np.union1d(x, y))
-                if 100 * both >= PERCENT * (total - both):
+                x, y = sets[a], sets[b]
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                if 100 * both >= PERCENT * (len(x) + len(y) - both):
                     root[ra] = rb
                     out.append((a, b))
-            return out
-
-        def told(x: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.int64()), pa.array([b for _, b in x], pa.int64())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for t, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("tile", "a", "b", "text")), strict=True):
+            for t, a, b, text in zip(batch.column("tile").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if t != tile:
                     if todo:
-                        yield told(links())
+                        yield links()
                     tile, sets, todo = t, {}, []
-                if b is None:
-                    if a not in sets:
-                        s = shingles(text or "", hashes)
-                        if _key(s) == a:  # rows that share a doc_id may differ in text
-                            sets[a] = s, _bitmap(s)
-                else:
+                if b is not None:
                     todo.append((a, b))
+                elif a not in sets:
+                    s = shingles(text or b"", hashes)
+                    if _key(s) == a:  # rows that share a doc_id may differ in text
+                        sets[a] = s
         if todo:
-            yield told(links())
+            yield links()
 
-    return cut(spark, rows.mapInArrow(run, "a bigint, b bigint"), "links")
+    found = cut(spark, rows.mapInArrow(run, "a bigint, b bigint"), "links")
+    for x in (placed, many, tiles, wanted):
+        drop_cut(spark, x)
+    return found
 
 
-def _large_group_pairs(members: DataFrame, labels: DataFrame, table: DataFrame) -> DataFrame:
+def _large_group_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different components within large posting groups whose bitmaps do not rule them out."""
-    spark = members.sparkSession
     rows = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     open_groups = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    rows = rows.join(open_groups, "h")
-    if not rows.limit(1).count():
-        return spark.createDataFrame([], "a bigint, b bigint")
-    sets = table.groupBy("key").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    rows = cut(spark, rows.join(sets, "key").withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9)), "bands")
-    blocks = rows.groupBy("h", "band").agg(F.ceil(F.count("*") / 1024).alias("blocks"))
+    rows = rows.join(open_groups, "h").join(sets, "key").withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9))
+    rows = cut(members.sparkSession, rows.select("h", "key", "component", "n", "bitmap", "band"), "bands")
+    large = rows.groupBy("h", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    large = cut(members.sparkSession, large, "blocks")  # at most a row for each BLOCK members
+    large = F.broadcast(large) if small(large, 32) else large
     # a member meets its own band and the next: as the one that asks, in each block; as the one that is asked, in its own
-    asked = rows.join(blocks, ["h", "band"]).select("h", "band", F.pmod(F.xxhash64("key"), "blocks").alias("block"), F.lit(True).alias("asked"), "key", "component", "n", "bitmap")
-    own = rows.join(blocks, ["h", "band"]).select("h", "band", "blocks", "key", "component", "n", "bitmap")
-    up = rows.withColumn("band", F.col("band") + 1).join(blocks, ["h", "band"]).select("h", "band", "blocks", "key", "component", "n", "bitmap")
-    asks = own.unionByName(up).select("h", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asked"), "key", "component", "n", "bitmap")
-    rows = asked.unionByName(asks).withColumn("tile", F.xxhash64("h", "band", "block")).repartition("tile").sortWithinPartitions("tile", F.desc("asked"))
+    columns = ["h", "band", "block", "asked", "key", "component", "n", "bitmap"]
+    blocks = F.coalesce("blocks", F.lit(1))
+    base = rows.join(large, ["h", "band"], "left").withColumns({"block": F.pmod(F.xxhash64("key"), blocks), "asked": F.lit(True)}).select(columns)
+    asks = rows.unionByName(rows.withColumn("band", F.col("band") + 1)).join(large, ["h", "band"], "left")
+    asks = asks.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)), "asked": F.lit(False)}).select(columns)
+    rows = base.unionByName(asks).withColumn("tile", F.xxhash64("h", "band", "block")).repartition("tile").sortWithinPartitions("tile", F.desc("asked"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, base = None, []
-        cols: list = []
+        tile, base, cols = None, [], []
         for batch in batches:
             for t, asked, key, comp, n, bits in zip(*(batch.column(c).to_pylist() for c in ("tile", "asked", "key", "component", "n", "bitmap")), strict=True):
                 if t != tile:
@@ -303,14 +378,21 @@ def _large_group_pairs(members: DataFrame, labels: DataFrame, table: DataFrame)
                 if asked:
                     base.append((key, comp, n, bits))
                     continue
+                if not base:
+                    continue
                 if not cols:
+                    size = min(len(x[3]) for x in base)
                     cols = [np.array([x[i] for x in base], np.int64) for i in range(3)]
-                    cols.append(np.frombuffer(b"".join(x[3] for x in base), np.uint8).reshape(len(base), -1))
-                total = cols[2] + n
-                same = np.bitwise_count(cols[3] ^ np.frombuffer(bits, np.uint8)).sum(1, dtype=np.int64)
-                fit = (cols[1] != comp) & (100 * np.minimum(cols[2], n) >= PERCENT * np.maximum(cols[2], n)) & ((100 + PERCENT) * (total - same) >= 2 * PERCENT * total)
-                if fit.any():
-                    found = cols[0][fit]
+                    cols.append(np.stack([_folded(np.frombuffer(x[3], np.uint8), size) for x in base]))
+                other = np.flatnonzero((cols[1] != comp) & (100 * np.minimum(cols[2], n) >= PERCENT * np.maximum(cols[2], n)))
+                if not len(other):
+                    continue
+                x = np.frombuffer(bits, np.uint8)
+                size = min(len(x), cols[3].shape[1])
+                bitmaps, total = _folded(cols[3][other], size), cols[2][other] + n
+                differing = np.bitwise_count(bitmaps.view(np.uint64) ^ _folded(x, size).view(np.uint64)).sum(1, dtype=np.int64)
+                found = cols[0][other[(100 + PERCENT) * (total - differing) >= 2 * PERCENT * total]]
+                if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, key)), pa.array(np.maximum(found, key))], ["a", "b"])
 
     return rows.select("tile", "asked", "key", "component", "n", "bitmap").mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
@@ -349,21 +431,25 @@ def _components(docs: DataFrame) -> DataFrame:
     expected = table.groupBy("key").agg(F.first("n").alias("n")).agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + 1)).first()[0] or 0
     bits = max(3, math.ceil(math.log2(max(1, expected / RANGE_POSTINGS))))
     found = cut(spark, _candidates(_postings(docs, hot, bits), bits), "candidates")
-    pairs = cut(spark, found.where("kind = 1").select("a", "b").distinct(), "pairs")
-    reps = table.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    sets = table.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("rep"))
+    sets = cut(spark, sets, "sets")
+    reps, bitmaps = sets.where("rep is not null").select("key", "rep"), sets.select("key", "n", "bitmap")
+    pairs = _passing(found.where("kind = 1").select("a", "b").distinct(), bitmaps)
     links = _verify(docs, reps, pairs)
+    drop_cut(spark, pairs)
     members = found.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("key"))
     labels = connected_components(spark, links)
     if members.limit(1).count():
-        more = cut(spark, _large_group_pairs(members, labels, table), "pairs")
+        more = cut(spark, _large_group_pairs(members, labels, bitmaps), "pairs")
         if more.limit(1).count():
             links = links.unionByName(_verify(docs, reps, more))
             labels = connected_components(spark, links)
-        else:
-            drop_cut(spark, more) if more.inputFiles() else None
-    sets = table.select("doc_id", "key", "n").where("n > 0").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    names = sets.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = sets.join(names, "component").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+        drop_cut(spark, more)
+    drop_cut(spark, found)
+    drop_cut(spark, sets)
+    rows = table.select("doc_id", "key", "n").where("n > 0").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    names = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = rows.join(names, "component").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = table.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(alone)
 
