@@ -4,19 +4,20 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two document
 similarity is at least ``PERCENT`` / 100. The join is exact up to collisions of 64-bit hashes:
 
 1. ``shingle_table``: per document the set's size, a key (hash of the whole set) and a bitmap of hash parities, of as
-   many bits as the set has elements, rounded up to a power of two. Documents of equal sets share a key and are one
+   many bits as twice the set's elements, rounded up to a power of two. Documents of equal sets share a key and are one
    from here on, however many copies there are.
 2. ``_postings``: two linked sets share an element among the first ``n - ceil(0.8 n) + 1`` of any common order. The
    order puts shingles last that are seen often (counted over all documents; a list of fixed size, broadcast), so a
    passage that a third of the documents share does not gather them. Postings travel as blocks of a hash range.
-3. ``_candidates``: within a posting group, sorted by set size, small groups give all pairs of fitting sizes. A large
-   one gives its chain and its stars: each member with its neighbour and with the first member of its size band.
+3. ``_candidates``: within a posting group, sorted by set size, small groups give all pairs of fitting sizes. Members
+   of a large one meet in tiles: first each in the largest of its groups, where a least spanning forest over the
+   bitmaps' distances (``_forest_pairs``) gives about a pair a member.
 4. ``_passing``: pairs meet both bitmaps; differing bits are differing elements, which bounds the overlap from above.
    Only pairs that pass go on, so a text moves only where a link is likely.
 5. ``_verify``: texts of passing pairs meet in tiles of bounded size, where sorted arrays are intersected.
 6. Large groups whose members are not all in one component yet are compared in full, in tiles of a size band, by
-   bitmaps; what passes is verified. So no link between different components is lost, and no group's pairs are ever
-   listed.
+   bitmaps; what passes is verified, each pair once. So no link between different components is lost, and no group's
+   pairs are ever listed.
 
 Defined results: null and empty texts, and those of white space, have no set (size 0) and link with nothing; with
 fewer than five words the whole sequence is the one element; repeated rows and copies share a component; rows of null
@@ -45,7 +46,7 @@ HOT_SHINGLES, HOT_LEAST, HOT_WINDOW = 65_536, 3, 4_000_000
 LEAST_BITS = 128
 #: Posting groups up to this size give all their pairs; postings of a hash range, pairs of a tile and members of a
 #: block of a large group, about.
-SMALL_GROUP, RANGE_POSTINGS, TILE_PAIRS, BLOCK = 16, 1_000_000, 2048, 8192
+SMALL_GROUP, RANGE_POSTINGS, TILE_PAIRS, BLOCK = 16, 1_000_000, 2048, 2048
 #: Words kept by a worker, and documents whose sets it holds at once.
 MEMO_WORDS, SLICE = 150_000, 1000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -100,7 +101,7 @@ def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
 
 def _bitmap(s: np.ndarray) -> bytes:
     """Each bit is the parity of the number of elements that fall on it: differing bits of two bitmaps are differing elements."""
-    bits = max(LEAST_BITS, 1 << (len(s) - 1).bit_length() if len(s) else 0)
+    bits = max(LEAST_BITS, 2 << (len(s) - 1).bit_length() if len(s) else 0)
     return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
@@ -218,7 +219,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
 
 
 def _group_pairs(h: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (two columns of keys) and the members of large groups (hash, key) of one hash range."""
+    """Candidate pairs (two columns of keys) and the members of large groups (hash, key, group size) of one hash range."""
     order = np.lexsort((k, n, h))
     h, k, n = h[order], k[order], n[order]
     fresh = np.ones(len(h), bool)
@@ -226,27 +227,21 @@ def _group_pairs(h: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     h, k, n = h[fresh], k[fresh], n[fresh]
     start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(h)))
-    of, big = np.repeat(size, size), np.repeat(size > SMALL_GROUP, size)
+    of = np.repeat(size, size)
+    big = of > SMALL_GROUP
     pairs = []
     for d in range(1, min(SMALL_GROUP, int(size.max(initial=1)))):
-        i = np.flatnonzero((h[:-d] == h[d:]) & ((of[:-d] <= SMALL_GROUP) | (d == 1)))
+        i = np.flatnonzero((h[:-d] == h[d:]) & ~big[:-d])
         i = i[100 * n[i].astype(np.int64) >= PERCENT * n[i + d].astype(np.int64)]
         pairs.append(np.stack([k[i], k[i + d]], 1))
-    for a, m in zip(start[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), strict=True):
-        sizes, lead = n[a : a + m], 0
-        while lead < m:  # a star for each size band
-            end = int(np.searchsorted(sizes, 100 * int(sizes[lead]) // PERCENT, "right"))
-            if end - lead > 1:
-                pairs.append(np.stack([np.full(end - lead - 1, k[a + lead]), k[a + lead + 1 : a + end]], 1))
-            lead = end
     pairs = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
     if len(pairs):
         pairs = np.unique(np.sort(pairs, 1), axis=0)
-    return pairs, np.stack([h[big].view(np.int64), k[big]], 1) if len(h) else np.empty((0, 2), np.int64)
+    return np.pad(pairs, ((0, 0), (0, 1))), np.stack([h[big].view(np.int64), k[big], of[big]], 1)
 
 
 def _candidates(postings: DataFrame, bits: int) -> DataFrame:
-    """kind 1: candidate pair (a, b); kind 2: member b of the large group of shingle a."""
+    """kind 1: candidate pair (a, b); kind 2: member b of the large group of shingle a, which has m members."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
@@ -258,10 +253,10 @@ def _candidates(postings: DataFrame, bits: int) -> DataFrame:
             for kind, x in zip((1, 2), _group_pairs(h, k, n), strict=True):
                 for at in range(0, len(x), 100_000):
                     part = x[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part[:, 0]), pa.array(part[:, 1])], ["kind", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), *(pa.array(part[:, i]) for i in range(3))], ["kind", "a", "b", "m"])
 
     # each range is a task's worth of memory, so ranges are dealt out by number
-    return postings.repartition(1 << bits, "range").mapInArrow(run, "kind byte, a bigint, b bigint")
+    return postings.repartition(1 << bits, "range").mapInArrow(run, "kind byte, a bigint, b bigint, m bigint")
 
 
 def _fits(n: int, m: int, differing: int) -> bool:
@@ -352,50 +347,119 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
+def _stacked(bitmaps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, folded to the shortest."""
+    size = min(map(len, bitmaps))
+    return np.stack([_folded(np.frombuffer(x, np.uint8), size) for x in bitmaps]).view(np.uint64)
+
+
+def _forest(keys: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (pairs of keys) of a least spanning forest over the bitmaps' distances, of edges that can be links (Prim)."""
+    far = np.iinfo(np.int64).max
+    best, near, left = np.full(len(n), far), np.zeros(len(n), np.int64), np.ones(len(n), bool)
+    out, at = [], 0
+    for _ in range(len(n)):
+        left[at], best[at] = False, far
+        total = n + n[at]
+        d = np.bitwise_count(bits ^ bits[at]).sum(1, dtype=np.int64)
+        fit = left & (d < best) & (100 * np.minimum(n, n[at]) >= PERCENT * np.maximum(n, n[at])) & ((100 + PERCENT) * (total - d) >= 2 * PERCENT * total)
+        best[fit], near[fit] = d[fit], at
+        nxt = int(best.argmin())
+        if best[nxt] == far:
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                break
+            at = int(rest[0])
+        else:
+            a, b = int(keys[nxt]), int(keys[near[nxt]])
+            out.append((min(a, b), max(a, b)))
+            at = nxt
+    return out
+
+
+def _forest_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that are likely links between members of large groups: each member is in its largest group only, in blocks
+    of bounded size, in two windows of sizes. What is missed here, the full comparison finds."""
+    own = members.groupBy("key").agg(F.max(F.struct("m", "h")).alias("x")).select("key", "x.m", "x.h")
+    band = F.floor(F.log("n") / (2 * math.log(100 / PERCENT)) + F.col("half") / 2)
+    rows = own.join(sets, "key").withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.withColumn("tile", F.xxhash64("h", "half", band, F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK))))
+    rows = rows.select("tile", "key", "n", "bitmap").repartition("tile").sortWithinPartitions("tile", "key")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
+
+        def told() -> pa.RecordBatch:
+            pairs = _forest(np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), _stacked([x[2] for x in held]))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in range(2)], ["a", "b"])
+
+        for batch in batches:
+            for t, *x in zip(*(batch.column(c).to_pylist() for c in ("tile", "key", "n", "bitmap")), strict=True):
+                if t != tile:
+                    if len(held) > 1:
+                        yield told()
+                    tile, held = t, []
+                held.append(x)
+        if len(held) > 1:
+            yield told()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def _large_group_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different components within large posting groups whose bitmaps do not rule them out."""
+    spark = members.sparkSession
     rows = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     open_groups = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    rows = rows.join(open_groups, "h").join(sets, "key").withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9))
-    rows = cut(members.sparkSession, rows.select("h", "key", "component", "n", "bitmap", "band"), "bands")
-    large = rows.groupBy("h", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
-    large = cut(members.sparkSession, large, "blocks")  # at most a row for each BLOCK members
-    large = F.broadcast(large) if small(large, 32) else large
-    # a member meets its own band and the next: as the one that asks, in each block; as the one that is asked, in its own
-    columns = ["h", "band", "block", "asked", "key", "component", "n", "bitmap"]
-    blocks = F.coalesce("blocks", F.lit(1))
-    base = rows.join(large, ["h", "band"], "left").withColumns({"block": F.pmod(F.xxhash64("key"), blocks), "asked": F.lit(True)}).select(columns)
-    asks = rows.unionByName(rows.withColumn("band", F.col("band") + 1)).join(large, ["h", "band"], "left")
-    asks = asks.withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)), "asked": F.lit(False)}).select(columns)
-    rows = base.unionByName(asks).withColumn("tile", F.xxhash64("h", "band", "block")).repartition("tile").sortWithinPartitions("tile", F.desc("asked"))
+    rows = cut(spark, rows.join(open_groups, "h").select("h", "key", "component"), "open")
+    # a pair counts in the least group that both are in
+    every = rows.groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("groups"))
+    band = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9)
+    rows_in = cut(spark, rows.join(sets.join(every, "key"), "key").withColumn("band", band), "bands")
+    large = rows_in.groupBy("h", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    large = cut(spark, large, "blocks")  # at most a row for each BLOCK members
+    wide = F.broadcast(large) if small(large, 32) else large
+    # a member meets its own band and the next: as the one that asks, and as the one that is asked, block by block
+    blocks, place = F.coalesce("blocks", F.lit(1)), F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1)))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    columns = ["h", "band", "i", "j", "asked", "key", "component", "n", "bitmap", "groups"]
+    base = rows_in.join(wide, ["h", "band"], "left").withColumns({"i": place, "j": each, "asked": F.lit(True)}).select(columns)
+    asks = rows_in.unionByName(rows_in.withColumn("band", F.col("band") + 1)).join(wide, ["h", "band"], "left")
+    asks = asks.withColumns({"i": each, "j": place, "asked": F.lit(False)}).select(columns)
+    tiles = base.unionByName(asks).withColumn("tile", F.xxhash64("h", "band", "i", "j")).repartition("tile").sortWithinPartitions("tile", F.desc("asked"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, base, cols = None, [], []
         for batch in batches:
-            for t, asked, key, comp, n, bits in zip(*(batch.column(c).to_pylist() for c in ("tile", "asked", "key", "component", "n", "bitmap")), strict=True):
+            for t, h, asked, *x in zip(*(batch.column(c).to_pylist() for c in ("tile", "h", "asked", "key", "component", "n", "bitmap")), batch.column("groups"), strict=True):
                 if t != tile:
                     tile, base, cols = t, [], []
                 if asked:
-                    base.append((key, comp, n, bits))
+                    base.append(x)
                     continue
                 if not base:
                     continue
+                key, comp, n, bits, groups = x
                 if not cols:
-                    size = min(len(x[3]) for x in base)
-                    cols = [np.array([x[i] for x in base], np.int64) for i in range(3)]
-                    cols.append(np.stack([_folded(np.frombuffer(x[3], np.uint8), size) for x in base]))
+                    cols = [*(np.array([y[i] for y in base], np.int64) for i in range(3)), _stacked([y[3] for y in base])]
                 other = np.flatnonzero((cols[1] != comp) & (100 * np.minimum(cols[2], n) >= PERCENT * np.maximum(cols[2], n)))
                 if not len(other):
                     continue
-                x = np.frombuffer(bits, np.uint8)
-                size = min(len(x), cols[3].shape[1])
-                bitmaps, total = _folded(cols[3][other], size), cols[2][other] + n
-                differing = np.bitwise_count(bitmaps.view(np.uint64) ^ _folded(x, size).view(np.uint64)).sum(1, dtype=np.int64)
-                found = cols[0][other[(100 + PERCENT) * (total - differing) >= 2 * PERCENT * total]]
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(found, key)), pa.array(np.maximum(found, key))], ["a", "b"])
-
-    return rows.select("tile", "asked", "key", "component", "n", "bitmap").mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+                size = min(len(bits), 8 * cols[3].shape[1])
+                total = cols[2][other] + n
+                theirs = _folded(cols[3][other].view(np.uint8), size).view(np.uint64)
+                differing = np.bitwise_count(theirs ^ _folded(np.frombuffer(bits, np.uint8), size).view(np.uint64)).sum(1, dtype=np.int64)
+                found = other[(100 + PERCENT) * (total - differing) >= 2 * PERCENT * total].tolist()
+                if found:
+                    own = np.array(groups.as_py())
+                    found = [cols[0][i] for i in found if np.intersect1d(own, base[i][4].as_py(), True)[0] == h]
+                    yield pa.RecordBatch.from_arrays([pa.array([min(y, key) for y in found], pa.int64()), pa.array([max(y, key) for y in found], pa.int64())], ["a", "b"])
+
+    tiles = tiles.select("tile", "h", "asked", "key", "component", "n", "bitmap", "groups")
+    found = cut(spark, tiles.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct(), "pairs")
+    for x in (rows, rows_in, large):
+        drop_cut(spark, x)
+    return found
 
 
 def near_duplicate_components(docs: DataFrame) -> DataFrame:
@@ -434,17 +498,18 @@ def _components(docs: DataFrame) -> DataFrame:
     sets = table.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.min("doc_id").alias("rep"))
     sets = cut(spark, sets, "sets")
     reps, bitmaps = sets.where("rep is not null").select("key", "rep"), sets.select("key", "n", "bitmap")
+    members = found.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("key"), "m")
     pairs = _passing(found.where("kind = 1").select("a", "b").distinct(), bitmaps)
-    links = _verify(docs, reps, pairs)
+    forest = cut(spark, _forest_pairs(members, bitmaps), "forest")
+    links = _verify(docs, reps, pairs.unionByName(forest).distinct())
     drop_cut(spark, pairs)
-    members = found.where("kind = 2").select(F.col("a").alias("h"), F.col("b").alias("key"))
+    drop_cut(spark, forest)
     labels = connected_components(spark, links)
-    if members.limit(1).count():
-        more = cut(spark, _large_group_pairs(members, labels, bitmaps), "pairs")
-        if more.limit(1).count():
-            links = links.unionByName(_verify(docs, reps, more))
-            labels = connected_components(spark, links)
-        drop_cut(spark, more)
+    more = _large_group_pairs(members, labels, bitmaps)
+    if more.limit(1).count():
+        links = links.unionByName(_verify(docs, reps, more))
+        labels = connected_components(spark, links)
+    drop_cut(spark, more)
     drop_cut(spark, found)
     drop_cut(spark, sets)
     rows = table.select("doc_id", "key", "n").where("n > 0").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
