@@ -116,12 +116,17 @@ def test_ngram_join(spark, docs, empty, monkeypatch):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(TEXTS))] == list(zip(n, root, strict=True))
     assert ngram_join.near_duplicate_components(empty).count() == 0
     # large groups, their bands and bitmaps
-    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
     words = [f"w{i}" for i in range(60)]
     many = [" ".join(words[: 60 - k % 20] + [f"own{k}x{j}" for j in range(k % 9)]) for k in range(60)]
     got = by_id(ngram_join.near_duplicate_components(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")))
     n, root = components(many)
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(60)] == list(zip(n, root, strict=True))
+    # the full comparison alone, without the forests
+    monkeypatch.setattr(ngram_join, "_forest_pairs", lambda members, sets: spark.createDataFrame([], "a long, b long"))
+    got = by_id(ngram_join.near_duplicate_components(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string")))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(60)] == list(zip(n, root, strict=True))
+    monkeypatch.undo()
     kept = ngram_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns
 

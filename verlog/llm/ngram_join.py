@@ -16,7 +16,7 @@ similarity is at least ``PERCENT`` / 100. The join is exact up to collisions of
    Only pairs that pass go on, so a text moves only where a link is likely.
 5. ``_verify``: texts of passing pairs meet in tiles of bounded size, where sorted arrays are intersected.
 6. Large groups whose members are not all in one component yet are compared in full, in tiles of a size band, by
-   bitmaps; what passes is verified, each pair once. So no link between different components is lost, and no group's
+   bitmaps; what passes is verified. So no link between different components is lost, and no group's
    pairs are ever listed.
 
 Defined results: null and empty texts, and those of white space, have no set (size 0) and link with nothing; with
@@ -411,54 +411,68 @@ def _large_group_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -
     spark = members.sparkSession
     rows = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     open_groups = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("h")
-    rows = cut(spark, rows.join(open_groups, "h").select("h", "key", "component"), "open")
-    # a pair counts in the least group that both are in
-    every = rows.groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("groups"))
-    band = F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9)
-    rows_in = cut(spark, rows.join(sets.join(every, "key"), "key").withColumn("band", band), "bands")
-    large = rows_in.groupBy("h", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
+    rows = rows.join(open_groups, "h").join(sets, "key").withColumn("band", F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9))
+    rows = cut(spark, rows.select("h", "band", "key", "component", "n", "bitmap"), "open")
+    large = rows.groupBy("h", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).where("blocks > 1")
     large = cut(spark, large, "blocks")  # at most a row for each BLOCK members
     wide = F.broadcast(large) if small(large, 32) else large
-    # a member meets its own band and the next: as the one that asks, and as the one that is asked, block by block
+    # tile (i, j) of a band has its block i; it is asked by block j of the band below and, for i < j, of the band itself
     blocks, place = F.coalesce("blocks", F.lit(1)), F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1)))
-    each = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    columns = ["h", "band", "i", "j", "asked", "key", "component", "n", "bitmap", "groups"]
-    base = rows_in.join(wide, ["h", "band"], "left").withColumns({"i": place, "j": each, "asked": F.lit(True)}).select(columns)
-    asks = rows_in.unionByName(rows_in.withColumn("band", F.col("band") + 1)).join(wide, ["h", "band"], "left")
-    asks = asks.withColumns({"i": each, "j": place, "asked": F.lit(False)}).select(columns)
-    tiles = base.unionByName(asks).withColumn("tile", F.xxhash64("h", "band", "i", "j")).repartition("tile").sortWithinPartitions("tile", F.desc("asked"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    before = F.explode(F.slice(F.sequence(F.lit(0).cast("long"), blocks - 1), 1, place.cast("int")))
+    columns = ["h", "band", "i", "j", "asked", "key", "component", "n", "bitmap"]
+    own, up = rows.join(wide, ["h", "band"], "left"), rows.withColumn("band", F.col("band") + 1).join(wide, ["h", "band"], "left")
+    tiles = own.withColumns({"i": place, "j": every, "asked": F.lit(True)}).select(columns)
+    tiles = tiles.unionByName(own.withColumns({"i": before, "j": place, "asked": F.lit(False)}).select(columns))
+    tiles = tiles.unionByName(up.withColumns({"i": every, "j": place, "asked": F.lit(False)}).select(columns))
+    tiles = tiles.select(F.xxhash64("h", "band", "i", "j").alias("tile"), "asked", (F.col("i") == F.col("j")).alias("own"), "key", "component", "n", "bitmap")
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", F.desc("asked"))
+
+    def matches(cols: list[np.ndarray], comp: int, n: int, bits: bytes) -> np.ndarray:
+        other = np.flatnonzero((cols[1] != comp) & (100 * np.minimum(cols[2], n) >= PERCENT * np.maximum(cols[2], n)))
+        size = min(len(bits), 8 * cols[3].shape[1])
+        total = cols[2][other] + n
+        theirs = _folded(cols[3][other].view(np.uint8), size).view(np.uint64)
+        differing = np.bitwise_count(theirs ^ _folded(np.frombuffer(bits, np.uint8), size).view(np.uint64)).sum(1, dtype=np.int64)
+        return other[(100 + PERCENT) * (total - differing) >= 2 * PERCENT * total]
+
+    def told(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, base, cols = None, [], []
+        tile, base, cols, within = None, [], [], False
+
+        def columns_of() -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+            """What is asked, and, in a tile of one block, its pairs among themselves."""
+            cols = [*(np.array([x[i] for x in base], np.int64) for i in range(3)), _stacked([x[3] for x in base])]
+            pairs = []
+            if within and len(np.unique(cols[1])) > 1:
+                for i, (key, comp, n, bits) in enumerate(base):
+                    rest = [c[i + 1 :] for c in cols]
+                    pairs += [(int(k), key) for k in rest[0][matches(rest, comp, n, bits)]]
+            return cols, pairs
+
         for batch in batches:
-            for t, h, asked, *x in zip(*(batch.column(c).to_pylist() for c in ("tile", "h", "asked", "key", "component", "n", "bitmap")), batch.column("groups"), strict=True):
+            for t, asked, own, *x in zip(*(batch.column(c).to_pylist() for c in ("tile", "asked", "own", "key", "component", "n", "bitmap")), strict=True):
                 if t != tile:
-                    tile, base, cols = t, [], []
+                    if base and not cols:
+                        yield told(columns_of()[1])
+                    tile, base, cols, within = t, [], [], own
                 if asked:
                     base.append(x)
-                    continue
-                if not base:
-                    continue
-                key, comp, n, bits, groups = x
-                if not cols:
-                    cols = [*(np.array([y[i] for y in base], np.int64) for i in range(3)), _stacked([y[3] for y in base])]
-                other = np.flatnonzero((cols[1] != comp) & (100 * np.minimum(cols[2], n) >= PERCENT * np.maximum(cols[2], n)))
-                if not len(other):
-                    continue
-                size = min(len(bits), 8 * cols[3].shape[1])
-                total = cols[2][other] + n
-                theirs = _folded(cols[3][other].view(np.uint8), size).view(np.uint64)
-                differing = np.bitwise_count(theirs ^ _folded(np.frombuffer(bits, np.uint8), size).view(np.uint64)).sum(1, dtype=np.int64)
-                found = other[(100 + PERCENT) * (total - differing) >= 2 * PERCENT * total].tolist()
-                if found:
-                    own = np.array(groups.as_py())
-                    found = [cols[0][i] for i in found if np.intersect1d(own, base[i][4].as_py(), True)[0] == h]
-                    yield pa.RecordBatch.from_arrays([pa.array([min(y, key) for y in found], pa.int64()), pa.array([max(y, key) for y in found], pa.int64())], ["a", "b"])
-
-    tiles = tiles.select("tile", "h", "asked", "key", "component", "n", "bitmap", "groups")
+                elif base:
+                    if not cols:
+                        cols, pairs = columns_of()
+                        yield told(pairs)
+                    found = matches(cols, *x[1:])
+                    if len(found):
+                        yield told([(int(k), x[0]) for k in cols[0][found]])
+        if base and not cols:
+            yield told(columns_of()[1])
+
     found = cut(spark, tiles.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct(), "pairs")
-    for x in (rows, rows_in, large):
-        drop_cut(spark, x)
+    drop_cut(spark, rows)
+    drop_cut(spark, large)
     return found
 
 
