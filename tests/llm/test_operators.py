@@ -194,10 +194,39 @@ def test_toxicity(spark, docs, empty):
     got = by_id(toxicity.score_documents(train, labels))
     assert all(got[i]["predicted"] == (i % 4 == 0) for i in range(200))
     find = toxicity.Trie({"scoundrel": 2.0}).find
-    assert all(find(w) for w in ("scoundrel", "scoundel", "scoundreel", "scoundrol", "xscoundrel")) and not find("scundrol")
+    assert all(find(w) for w in ("scoundrel", "scoundel", "scoundreel", "scoundrol", "xscoundrel", "scuondrel", "sc0undrel")) and not find("scundrol")
     assert {r["score"] for r in toxicity.score_documents(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.score_documents(empty, labels).count() == 0
     assert toxicity.keep_clean(docs, labels.limit(0)).columns == docs.columns
+    long = prose(40_000)
+    more = [(900, "you w0rthless scuondrel"), (901, "w.o.r.t.h.l.e.s.s scoundr3l"), (902, "worthles scoundreel!"), (903, long), (904, "WORTHLESS, scoundrel " + long)]
+    more = spark.createDataFrame([(i, t, "en") for i, t in more], train.schema)
+    got = by_id(toxicity.score_documents(train.unionByName(more), labels))
+    assert [got[i]["predicted"] for i in range(900, 904)] == [1, 1, 1, 0] and got[904]["score"] > got[903]["score"]
+
+
+def edits(a, b):
+    """Optimal string alignment distance."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_toxicity_automaton_against_edit_distance():
+    rng = random.Random(5)
+    word = lambda a, b: "".join(rng.choice("abc") for _ in range(rng.randint(a, b)))
+    for _ in range(60):
+        terms = {word(5, 8): rng.uniform(1, 1.6) for _ in range(6)}
+        trie = toxicity.Trie(terms)
+        for _ in range(200):
+            w = word(3, 9)
+            near = {t for t in terms if edits(w, t) <= 1}
+            got = trie.find(w)
+            assert (got is None) == (not near) and (got is None or got[0] in near and got[1] == (w not in terms))
 
 
 def test_quality(docs, empty):

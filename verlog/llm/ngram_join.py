@@ -4,7 +4,7 @@ A document's set holds its distinct word shingles as 64-bit hashes. Two document
 similarity is at least ``PERCENT`` / 100. The join is exact up to collisions of 64-bit hashes:
 
 1. ``shingle_table``: per document the set's size, a key (hash of the whole set) and a bitmap of hash parities, of as
-   many bits as twice the set's elements, rounded up to a power of two. Documents of equal sets share a key and are one
+   many bits as four times the set's elements, rounded up to a power of two, 1024 at least. Documents of equal sets share a key and are one
    from here on, however many copies there are.
 2. ``_postings``: two linked sets share an element among the first ``n - ceil(0.8 n) + 1`` of any common order. The
    order puts shingles last that are seen often (counted over all documents; a list of fixed size, broadcast), so a
@@ -43,7 +43,7 @@ SHINGLE, PERCENT = 5, 80
 #: often one must be among them to be reported.
 HOT_SHINGLES, HOT_LEAST, HOT_WINDOW = 65_536, 3, 4_000_000
 #: Bits of the shortest bitmap.
-LEAST_BITS = 128
+LEAST_BITS = 1024
 #: Posting groups up to this size give all their pairs; postings of a hash range, pairs of a tile and members of a
 #: block of a large group, about.
 SMALL_GROUP, RANGE_POSTINGS, TILE_PAIRS, BLOCK = 16, 1_000_000, 2048, 2048
@@ -101,7 +101,7 @@ def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
 
 def _bitmap(s: np.ndarray) -> bytes:
     """Each bit is the parity of the number of elements that fall on it: differing bits of two bitmaps are differing elements."""
-    bits = max(LEAST_BITS, 2 << (len(s) - 1).bit_length() if len(s) else 0)
+    bits = max(LEAST_BITS, 4 << (len(s) - 1).bit_length() if len(s) else 0)
     return np.packbits((np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 

@@ -1,8 +1,12 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, and context windows around each hit.
 
-The lexicon is learned: words whose document frequency among toxic training rows far exceeds that among the others.
+The lexicon is learned: words, and stems that words begin with, whose document frequency among toxic training rows
+far exceeds that among the others. A stem must begin several words, none of which accounts for most of its rows; it
+makes the longer ones and the words that it begins superfluous.
 It lies in a trie; a word of a text is looked up by walking the trie together with the word's Levenshtein automaton
-(one edit, for words of five letters and more), so that misspelled terms are met too. Each hit is weighed by its
+(one edit, for terms of five letters and more; two neighbours that changed places count as one), so that misspelled
+terms are met too. A token is looked up by its runs of letters, as a whole with the digits and marks inside of it, and
+by its letters alone, so neither a digit for a letter nor marks between letters hide a term. Each hit is weighed by its
 window: quotation marks around it speak for a mention, further hits near by for abuse. A logistic regression over
 the sums of these weights, fitted on a bounded sample of labelled rows, gives the score.
 
@@ -26,37 +30,59 @@ from .common import cut, drop_cut
 
 #: At most so many labelled rows are learned from: those of the smallest hashes.
 TRAIN_ROWS = 20_000
-#: Terms of the lexicon at most, and what a term must show.
-MAX_TERMS, MIN_TOXIC_DOCS, MIN_TOXIC_SHARE, MIN_LOG_ODDS = 1000, 2, 0.005, 2.0
+#: What a term must show. As each is in at least ``MIN_TOXIC_SHARE`` of the toxic training rows, the lexicon has at most
+#: the mean number of distinct words and stems of such a row divided by that share.
+MIN_TOXIC_DOCS, MIN_TOXIC_SHARE, MIN_LOG_ODDS = 3, 0.015, 2.0
+#: Letters of a stem, which is written with an asterisk; part of its rows that one longer term may have.
+STEM_FROM, STEM_TO, STEM_SHARE = 3, 7, 0.8
+#: Part of the largest weight from which a term is met misspelled, and what such a hit weighs.
+FUZZY_SHARE, FUZZY_WEIGHT = 0.6, 0.8
 #: Words on each side of a hit that speak for or against it.
 WINDOW = 6
 #: Words kept by a task before it starts over.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 120_000
 _LETTERS = re.compile(r"[^\W\d_]+")
+_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
+_MARK, MASK = re.compile(r"[\W\d_]"), "\0"
 _TOKEN = re.compile(r"\S+")
 _QUOTES = frozenset("\"“”„«»‟‹›")
-N_FEATURES = 7
+N_FEATURES = 6
 
 
 class Trie:
-    """Terms with weights; ``find`` gives the best term within one edit."""
+    """Terms with weights; ``find`` gives the term itself, its stem, or the best of the strong words within one edit.
+
+    Strong terms have ``FUZZY_SHARE`` of the largest weight at least: words near a weak one are no evidence. Of terms of
+    four letters only a digit or mark in a letter's place counts as an edit."""
 
     def __init__(self, weights: dict[str, float]):
         self.weights, self.root = weights, {}
-        for term in weights:
+        least = FUZZY_SHARE * max(weights.values(), default=0.0)
+        strong = sorted((t for t, w in weights.items() if w >= least and len(t) >= 4 and "*" not in t), key=lambda t: (weights[t], t))
+        self.masked = {t[:i] + MASK + t[i + 1 :]: t for t in strong for i in range(len(t))}
+        strong = [t for t in strong if len(t) >= 5]
+        for term in strong:
             node = self.root
             for ch in term:
                 node = node.setdefault(ch, {})
             node[""] = term
         # words one edit apart are equal after at most one deletion each: few others reach the automaton
-        self.near = {v for t in weights if len(t) >= 5 for v in (t, *(t[:i] + t[i + 1 :] for i in range(len(t))))}
-        self.longest = max(map(len, weights), default=0)
+        self.near = {v for t in strong for v in (t, *(t[:i] + t[i + 1 :] for i in range(len(t))))}
+        self.longest = max(map(len, strong), default=0)
+        self.swapped = {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: t for t in strong for i in range(len(t) - 1)}
 
     def find(self, word: str) -> tuple[str, int] | None:
         if word in self.weights:
             return word, 0
+        for k in range(STEM_FROM, min(STEM_TO, len(word)) + 1):
+            if (stem := word[:k] + "*") in self.weights:
+                return stem, 0
+        if word in self.swapped:
+            return self.swapped[word], 1
+        if not word.isalpha() and (term := self.masked.get(_MARK.sub(MASK, word))):
+            return term, 1
         n, near = len(word), self.near
-        if not 5 <= n <= self.longest + 1 or not (word in near or any(word[:i] + word[i + 1 :] in near for i in range(n))):
+        if not 4 <= n <= self.longest + 1 or not (word in near or any(word[:i] + word[i + 1 :] in near for i in range(n))):
             return None
         # automaton states as bits: places in the word that are reached with no edit, and with one
         places: dict[str, int] = {}
@@ -68,7 +94,7 @@ class Trie:
             node, none, one = stack.pop()
             for ch, child in node.items():
                 if ch == "":
-                    if len(child) >= 5 and (none | one) & end:
+                    if (none | one) & end:
                         best = max(best, (self.weights[child], child))
                     continue
                 same = of(ch, 0)
@@ -85,11 +111,15 @@ class Scorer:
         self.trie, self.known, self.words, self.hits = Trie(weights), set(), {}, {}
 
     def learn(self, tokens: set[str]) -> None:
-        """Looks up the letter runs of tokens not met before; a token counts as its heaviest run."""
+        """Looks up tokens not met before: their letter runs, their inner part and their letters; the heaviest counts."""
         words, weights = self.words, self.trie.weights
         for token in tokens:
-            best = None
-            for w in (token,) if token.isalpha() else _LETTERS.findall(token):
+            best, parts = None, (token,)
+            if not token.isalpha():
+                parts = _LETTERS.findall(token)
+                if parts and (inner := _ENDS.sub("", token)) != parts[0]:
+                    parts = [*parts, inner, "".join(parts)]
+            for w in parts:
                 if w not in words:
                     found = self.trie.find(w)
                     words[w] = (weights[found[0]], found[1]) if found else None
@@ -111,23 +141,21 @@ class Scorer:
             return out
         at = [(m.start(), m.end(), self.hits.get(m[0])) for m in _TOKEN.finditer(low)]
         places = [i for i, x in enumerate(at) if x[2]]
-        plain = fuzzy = quoted = top = 0.0
+        plain = quoted = top = 0.0
         terms = set()
         for k, i in enumerate(places):
             a, b, (weight, edits) = at[i]
             before = low[at[max(0, i - WINDOW)][0] : a]
             after = low[b : at[min(len(at) - 1, i + WINDOW)][1]]
             others = sum(abs(places[j] - i) <= WINDOW for j in range(max(0, k - WINDOW), min(len(places), k + WINDOW + 1))) - 1
-            weight *= 1 + 0.25 * min(others, 4)
+            weight *= (1 + 0.25 * min(others, 4)) * (FUZZY_WEIGHT if edits else 1)
             terms.add(low[a:b])
             if sum(c in _QUOTES for c in before) % 2 and any(c in _QUOTES for c in after):
                 quoted += weight
-            elif edits:
-                fuzzy += weight
             else:
                 plain += weight
                 top = max(top, weight)
-        return [np.log1p(plain), np.log1p(fuzzy), np.log1p(quoted), top / 5, min(len(terms), 8) / 4, min(1.0, 20 * len(places) / len(at)), float(plain > 0)]
+        return [np.log1p(plain), np.log1p(quoted), top / 5, min(len(terms), 8) / 4, min(1.0, 20 * len(places) / len(at)), float(plain > 0)]
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, train: object) -> DataFrame:
@@ -146,10 +174,19 @@ def learn(docs: DataFrame, labels: DataFrame, train) -> tuple[dict[str, float],
     if not pos or not neg:
         drop_cut(spark, rows) if pos + neg else None
         return {}, None
-    words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).where("length(w) between 3 and 40")
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
+    stems = F.transform(F.sequence(F.lit(STEM_FROM), F.lit(STEM_TO)), lambda k: F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(w.substr(F.lit(1), k), F.lit("*"))))
+    words = rows.select("toxic", F.explode(F.array_distinct(F.concat(words, F.flatten(stems)))).alias("w"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
     counts = words.groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(F.expr("1 - toxic")).alias("n")).where(F.col("p") >= max(MIN_TOXIC_DOCS, int(MIN_TOXIC_SHARE * pos))).withColumn("odds", odds)
-    found = counts.where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("p")), "w").limit(MAX_TERMS).collect()
+    terms = {r["w"]: r for r in counts.where(F.col("odds") >= MIN_LOG_ODDS).collect()}  # bounded: see MIN_TOXIC_SHARE
+    most: dict[str, int] = {}  # rows of a stem's commonest longer term
+    for w, r in terms.items():
+        for k in range(STEM_FROM, min(STEM_TO, len(w) - 1) + 1):
+            if (stem := w[:k] + "*") != w:
+                most[stem] = max(most.get(stem, 0), r["p"])
+    terms = {w: r for w, r in terms.items() if w[-1] != "*" or most.get(w, r["p"]) <= STEM_SHARE * r["p"]}
+    found = [r for w, r in terms.items() if not any(w[:k] + "*" in terms and w[:k] + "*" != w for k in range(STEM_FROM, min(STEM_TO, len(w)) + 1))]
     # a term seen in a few documents only may be chance: its weight shrinks
     weights = {r["w"]: float(r["odds"] * r["p"] / (r["p"] + 3)) for r in found}
     x = _featurize(rows.select("doc_id", "text", "toxic"), weights, ["toxic"]).select("f", "toxic").collect()  # bounded by TRAIN_ROWS
@@ -171,7 +208,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _featurize(rows: DataFrame, weights: dict[str, float], keep: list[str]) -> DataFrame:
-    lexicon = rows.sparkSession.sparkContext.broadcast(weights)  # bounded by MAX_TERMS
+    lexicon = rows.sparkSession.sparkContext.broadcast(weights)  # bounded: see MIN_TOXIC_SHARE
     schema = rows.select("doc_id", *keep).schema.add("f", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
