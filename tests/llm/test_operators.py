@@ -275,6 +275,55 @@ def texts_of(spark, pages, host="http://h/"):
     return [r["text"] for r in sorted(rows, key=lambda r: r["page_id"])]
 
 
+def test_html_parser():
+    text = lambda page: html_extract.extract(page, None)
+    assert text('<div style="overflow: hidden"><p>Body') == "Body"
+    assert text('<article><h1 class="article-header">T</h1><p aria-hidden="false">a<p title="a hidden truth">b<div data-id="social">c</div></article>') == "T\n\na\n\nb\n\nc"
+    assert text("<p>a < b and 3<4 <a href=\"x>y\" title='q\"'>link</a> it's</p><p hidden>no</p><div id=cookie-notice>no</div>") == "a < b and 3<4 link it's"
+    # deep, long and broken pages take linear time and lose no text
+    deep = text("<div>" * 10_000 + "deep <b>x</b> y" + "</div>tail" * 10_000)
+    assert deep == "deep x y" + "\n\ntail" * 10_000
+    assert text("<div hidden>" * 300 + "no" + "</div>" * 300 + "yes") == "yes" and text("<b>" * 10_000 + "z") == "z"
+    for page in ("<a " * 50_000, '<a "' * 50_000, "<p><div>" * 20_000 + "</span>" * 20_000, "<!-" * 50_000):
+        tree = html_extract._bare(html_extract.view(html_extract.parse(page)))
+        html_extract.merge(html_extract._as_wrapper(tree), html_extract._as_wrapper(tree))
+
+
+def test_tree_matching_against_brute_force():
+    rng = random.Random(2)
+
+    def tree(depth):
+        return [rng.choice("ab"), [], [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else []]
+
+    def size(a, b):
+        """Largest match of two trees of one label: every order-keeping choice of children, equal lists place by place."""
+        if [x[0] for x in a[2]] == [x[0] for x in b[2]]:
+            return 1 + sum(map(size, a[2], b[2]))
+
+        def best(i, j):
+            if i == len(a[2]) or j == len(b[2]):
+                return 0
+            both = size(a[2][i], b[2][j]) + best(i + 1, j + 1) if a[2][i][0] == b[2][j][0] else 0
+            return max(both, best(i + 1, j), best(i, j + 1))
+
+        return 1 + best(0, 0)
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        if a[0] == b[0]:
+            pairs = html_extract._align(a[2], b[2], {})
+            assert pairs == sorted(pairs) and all(a[2][i][0] == b[2][j][0] for i, j, _ in pairs)
+            assert html_extract._size(a, b, {}) == size(a, b) == 1 + sum(s for *_, s in pairs)
+
+
+def test_html_edges(spark):
+    schema = "page_id long, url string, html string, host string, text string, wrapper string"
+    assert html_extract.extract_pages(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "http://h/", "<p>a", "x", "y", "z"), (None, None, "<div>" * 2000 + "b", "x", None, "z"), (1, "http://h/", "<p>a", "x", "y", "z")]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got) == [("1", "a", 1), ("1", "a", 1), ("None", "b", 1)]
+
+
 def test_html_wrapper_decides(spark):
     # a constant advert among an article's paragraphs, and main text outside of the only article
     page = "<body><article><h1>H{0}</h1><p>own {0} first</p><p>Read our other offers</p><p>own {0} last <span>Advert</span></p></article></body>"

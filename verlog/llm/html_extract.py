@@ -12,7 +12,8 @@ one tree per host, trees of a host are merged as a stream, by lossy counting, wh
 a node's bodies share; a second pass counts what is left exactly. Pages then meet their wrapper in a join.
 
 Defined results: a null or empty page gives ''; a page without a tag is one block of text; a null url is a host of
-its own ('' as all urls without one); a host of few bodies has no constant nodes, so the element rules alone decide
+its own ('' as all urls without one); elements below ``MAX_DEPTH`` stand side by side there, with all their text, so a
+tree of any depth is walked; a tag that never ends is text; a host of few bodies has no constant nodes, so the element rules alone decide
 (the article and main elements, where there are any); repeated rows each give their row; other columns are ignored.
 """
 
@@ -38,6 +39,8 @@ MAX_HOSTS, LONG_CELLS = 2000, 4096
 LOSSY = 16
 #: From so many distinct page bodies on a node can be constant: if one text has this share of them.
 MIN_PAGES, CONSTANT_SHARE = 4, 0.5
+#: Levels of a tree; deeper elements are laid flat, as browsers do.
+MAX_DEPTH = 120
 #: Part of a page's text by which its body is known.
 BODY_SHARE = 0.8
 # Element names by their part in a page.
@@ -46,10 +49,15 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 DROPPED = RAW | frozenset("head nav footer aside form dialog menu audio video canvas label fieldset".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 FORMAT, WHOLE = frozenset("b i em strong u a code".split()), frozenset("# html body main article".split())
+BLOCK_BUT_P = BLOCK - {"p"}
 CLOSES_P = BLOCK | frozenset("nav footer aside form menu".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar aside footer header masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist reply replies respond discussion disqus widget widgets toolbar pager pagination copyright legal disclaimer skip".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that name the head of the page, but of an article's own title inside of one.
+HEADS = frozenset("header masthead".split())
+# Each part of a tag starts with a character of its own, so no text is tried twice; a < that could start a tag ends it.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|<(?![a-zA-Z/!?])|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^\"'<>]*+>))*+)>", re.S)
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'<>]++)))?+|\"[^\"]*+\"|'[^']*+'")
 _NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -60,45 +68,107 @@ class Node:
         self.tag, self.label, self.kids, self.dropped, self.verdict, self.print = tag, label, [], dropped, False, ""
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    """Names (first of each) with values; what stands within a value is no name."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        if m[1]:
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+class _Tree:
+    """The open elements while a page is read. Nodes deeper than ``MAX_DEPTH`` are children of the one there: an inline
+    one is part of its parent, and what follows a closed one stands in a second node of its parent."""
+
+    def __init__(self):
+        self.root = Node("#", "#", False)
+        self.open: list[tuple[str, Node]] = [("#", self.root)]
+        self.count: dict[str, int] = {}
+
+    def add(self, tag: str, node: Node, stays: bool) -> None:
+        deep = len(self.open) > MAX_DEPTH
+        parent = self.open[-1][1]
+        if deep:
+            node.dropped |= parent.dropped
+            if stays and node.tag not in BLOCK and node.dropped == parent.dropped:
+                node = parent
+            else:
+                self.open[MAX_DEPTH - 1][1].kids.append(node)
+                if not stays:
+                    self._continue(len(self.open) - 1)
+        else:
+            parent.kids.append(node)
+        if stays:
+            self.open.append((tag, node))
+            self.count[tag] = self.count.get(tag, 0) + 1
+
+    def _continue(self, at: int) -> None:
+        """Later text of an open deep element stands behind what has just been closed."""
+        tag, old = self.open[at]
+        if at >= MAX_DEPTH:
+            node = Node(old.tag, old.label, old.dropped)
+            self.open[MAX_DEPTH - 1][1].kids.append(node)
+            self.open[at] = tag, node
+
+    def close(self, depth: int) -> None:
+        """Close the open element at ``depth`` and all within."""
+        if depth:
+            last, above = self.open[-1][1], self.open[depth - 1][1]
+            for tag, _ in self.open[depth:]:
+                self.count[tag] -= 1
+            del self.open[depth:]
+            if last is not above:
+                self._continue(len(self.open) - 1)
+
+    def within(self, *tags: str) -> bool:
+        return any(self.count.get(t) for t in tags)
+
+    def find(self, tags: tuple[str, ...], stop) -> int:
+        """Depth of the innermost open element of ``tags``, 0 if there is none before one of ``stop``."""
+        if self.within(*tags):
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k][0] in tags:
+                    return k
+                if self.open[k][0] in stop:
+                    break
+        return 0
+
+
 def parse(page: str) -> Node:
     """A tolerant tree: unclosed elements end with their parent, p and li end at the next of their kind."""
-    root = Node("#", "#", False)
-    stack, at = [root], 0
+    tree, at = _Tree(), 0
     while m := _TAG.search(page, at):
         if m.start() > at:
-            stack[-1].kids.append(page[at : m.start()])
+            tree.open[-1][1].kids.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                stack[-1].kids.append(html.escape(m[0][9:-3]))
+                tree.open[-1][1].kids.append(html.escape(m[0][9:-3]))
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth and not (tag not in BLOCK and any(x.tag in BLOCK and x.tag != "p" for x in stack[depth + 1 :])):
-                del stack[depth:]
+            tree.close(tree.find((tag,), () if tag in BLOCK else BLOCK_BUT_P))
             continue
         if tag in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-            if depth and not any(x.tag in BLOCK for x in stack[depth + 1 :]):
-                del stack[depth:]
+            tree.close(tree.find(("p",), BLOCK_BUT_P))
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag or stack[k].tag in ("ul", "ol", "dl", "table")), 0)
-            if depth and stack[depth].tag == tag:
-                del stack[depth:]
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3].strip(" /") else {}
+            tree.close(tree.find((tag,), ("ul", "ol", "dl", "table")))
+        attrs = _attributes(m[3]) if m[3].strip(" /") else {}
         names = [w.lower() for w in _NAME.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")))] if attrs else []
-        dropped = tag in DROPPED or "hidden" in attrs or tag not in ("html", "body", "article", "main") and bool(WORDS.intersection(names)) or tag == "header" and not any(x.tag in ("article", "main") for x in stack)
-        node = Node(tag, f"{tag}.{'.'.join(sorted(names))}" if names else tag, dropped)
-        stack[-1].kids.append(node)
-        if tag in RAW and not m[3].endswith("/"):
+        inside = tree.within("article", "main")
+        words = WORDS.intersection(names) if tag not in ("html", "body", "article", "main") and not (inside and tag in HEADINGS) else ()
+        if inside and words:
+            words = words - HEADS
+        node = Node(tag, f"{tag}.{'.'.join(sorted(names))}" if names else tag, tag in DROPPED or "hidden" in attrs or bool(words) or tag == "header" and not inside)
+        raw = tag in RAW and not m[3].endswith("/")
+        tree.add(tag, node, not raw and tag not in VOID and not m[3].endswith("/"))
+        if raw:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
     if at < len(page):
-        stack[-1].kids.append(page[at:])
-    return root
+        tree.open[-1][1].kids.append(page[at:])
+    return tree.root
 
 
 def _own_text(node: Node) -> str:
@@ -156,7 +226,8 @@ def _size(a: list, b: list, memo: dict) -> int:
 
 
 def _align(a: list[list], b: list[list], memo: dict) -> list[tuple[int, int, int]]:
-    """Simple tree matching of two child lists: places that match, and their sizes."""
+    """Simple tree matching of two child lists: places that match, and their sizes. Lists of equal labels match place by
+    place, others by the largest order-keeping match."""
     if len(a) == len(b) and all(x[0] == y[0] for x, y in zip(a, b, strict=True)):
         return [(i, i, _size(x, y, memo)) for i, (x, y) in enumerate(zip(a, b, strict=True))]
     if len(a) * len(b) > LONG_CELLS:
