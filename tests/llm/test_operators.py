@@ -258,6 +258,52 @@ def test_pii(docs, empty):
     assert all((pii._score(trees, [float(i % 2), float(i)]) > 0.5) == bool(i % 2) for i in range(60))
 
 
+def base_of(text):
+    """Base spans by plain regular expressions and checks."""
+    def luhn(v):
+        d = [int(c) for c in re.sub("[^0-9]", "", v)][::-1]
+        return 12 <= len(d) <= 19 and (sum(d[::2]) + sum(2 * x - 9 * (x > 4) for x in d[1::2])) % 10 == 0
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda v: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda v: all(int(x) <= 255 for x in v.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", luhn),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= len(re.sub("[^0-9]", "", v)) <= 15),
+    ]
+    return sorted((m.start(), k, m.end(), kind) for k, (kind, pattern, good) in enumerate(kinds) for m in re.finditer(pattern, text) if good(m[0]))
+
+
+def test_pii_base_against_brute_force(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 120))) for chars in ("a.@-1_ ", "0123456789 -", "0125.", "+0123456789 ().-", "a@b.c_%+1é😀\n") for _ in range(150)]
+    texts += [part * n for part in ("a", "1", "1.", "+1", "4111111111111111 ", "x@y.z ", "a@b.") for n in (1, 700)]
+    got = by_id(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)))
+    for i, t in enumerate(texts):
+        base = base_of(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base).encode()).hexdigest(), t[:200]
+        spans = [x.split(":") for x in got[i]["spans"].split(",") if x]
+        assert {f"{k}:{a}:{b}" for a, _, b, k in base} <= {":".join(x) for x in spans} and got[i]["n_spans"] == len(spans)
+    # megabytes of one run: linear, and whole (the plain expressions above would be quadratic)
+    huge = ["a" * 300_000 + "@b.c", "1" * 300_000, "1." * 100_000, "+1" * 100_000, "+" + "(" * 300_000, "x@y.z " * 50_000, "é" * 500_000 + "me@a.b"]
+    got = by_id(pii.find(spark.createDataFrame(list(enumerate(huge)), "doc_id long, text string").repartition(7)))
+    assert [tuple(got[i][f"n_{k}"] for k in pii.KINDS) for i in range(7)] == [(1, 0, 0, 0), (0, 0, 0, 0), (0, 25_000, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (50_000, 0, 0, 0), (1, 0, 0, 0)]
+
+
+def test_pii_added_spans(spark):
+    """Tokens without a name, like those that are named elsewhere, are found; the evidence of a label is no feature."""
+    rng = random.Random(4)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, f"{prose(30)} token = \"{secret()}\" {prose(5)}") for i in range(300)] + [(i, f"{prose(30)} see section-{i}-of-the-report/{i} {prose(5)}") for i in range(300, 600)]
+    bare = [secret() for _ in range(100)]
+    rows += [(1000 + i, f"{prose(30)} (\"{x}\") {prose(5)}") for i, x in enumerate(bare)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, spans string, base int")
+    cleaned = by_id(pii.redact(docs))
+    assert sum(x not in cleaned[1000 + i]["text"] for i, x in enumerate(bare)) >= 90
+    clean = [(i, t) for i, t in rows[300:600] if not base_of(t)]
+    assert len(clean) > 200 and sum(cleaned[i]["text"] == t for i, t in clean) >= 0.99 * len(clean)
+    assert docs.columns == list(cleaned[0].asDict()) and cleaned[0]["spans"] == "x" and cleaned[0]["base"] == 1
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a href='x'>Menu</a></nav><div class='tip'>Same tip</div><article><h1>H {0} &amp; x</h1><p>one  {0}<p>two<br>{0} <b>b</b><div class='comments'><p>bad</p></div></article><footer>f</footer></body>"
     rows = [(i, f"http://A.example/{i}", page.replace("{0}", f"n{i}")) for i in range(6)] + [(6, None, None), (7, "", ""), (8, "x", "plain  text"), (9, "http://b/", "<p>a<script>if (1<2) x</script><!-- c --><p>b &lt;3"), (9, "http://b/", "<p>a")]
