@@ -164,7 +164,7 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     random.seed(3)
     for _ in range(300):
         items = [(str(k % 6), [random.choice([b"a", b"b", b"c"]) for _ in range(random.randint(0, 9))]) for k in range(random.randint(0, 8))]
@@ -183,6 +183,13 @@ def test_decontamination(spark, docs, empty):
     assert [i for i in got if got[i]["contaminated"]] and got[8]["n_hit"] == 40 and got[3]["n_hit"] == 2 and got[0]["n_words"] == 0
     cleaned = by_id(decontaminate.clean_documents(docs, bench))
     assert PASSAGE not in cleaned[8]["text"] and cleaned[5]["text"] == BASE and cleaned[0]["text"] is None and 3 not in cleaned
+    # several automata, one after another, and columns of the names that are used within
+    odd = docs.withColumn("spans", F.lit("mine")).withColumn("__text", F.lit("too"))
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 2)
+    assert by_id(decontaminate.find_contamination(docs, bench)) == got
+    again = by_id(decontaminate.clean_documents(odd, bench))
+    assert {i: r["text"] for i, r in again.items()} == {i: r["text"] for i, r in cleaned.items()} and again[5]["spans"] == "mine"
+    monkeypatch.undo()
     assert decontaminate.find_contamination(empty, bench).count() == 0
     assert not any(r["contaminated"] for r in decontaminate.find_contamination(docs, bench.limit(0)).collect())
 

@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import kept, small_batches, tidy
+
 #: Words kept by a task before it starts over, and the longest word that is kept.
-MEMO_WORDS, MEMO_BYTES = 400_000, 48
+MEMO_WORDS, MEMO_BYTES = 300_000, 48
 #: No rank, and no id.
 NONE, PAD = 1 << 30, -2
 #: From so many bytes on, merging uses a heap.
@@ -260,29 +262,19 @@ class Decoder:
         return self.joined[at].tobytes()
 
 
-_KEPT: dict[int, Encoder] = {}
-
-
-def _encoder(key: int, ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """One encoder, and so one set of known words, for each vocabulary and Python worker."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Encoder(ranks, pattern)
-    return _KEPT[key]
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
     """One row per document with its id and the asked outputs, of: ids (binary, four bytes each), ids_u2 (two bytes each), decoded (binary),
     n_tokens, ids_sha256, decoded_sha256. Narrow: no shuffle."""
     kinds = {"ids": "binary", "ids_u2": "binary", "decoded": "binary", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    small_batches(rows.sparkSession)
     ranks = rows.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))  # of fixed size: one vocabulary
     key = hash((ranks_path, pattern, len(ranks.value)))
     decodes = any(o.startswith("decoded") for o in outputs)
     fields = {"ids": pa.binary(), "ids_u2": pa.binary(), "decoded": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(key, ranks.value, pattern)
+        encoder = kept("bpe", key, lambda: Encoder(ranks.value, pattern))  # one for each vocabulary and Python worker
         decoder = Decoder(ranks.value) if decodes else None
         for batch in batches:
             out: dict[str, list] = {o: [] for o in outputs}
@@ -295,4 +287,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, id_col:
                     out[o].append(hashlib.sha256(row[o[:-7]]).hexdigest() if o.endswith("_sha256") else row[o])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(out[o], fields[o]) for o in outputs)], ["doc_id", *outputs])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{o} {kinds[o]}" for o in outputs))
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{o} {kinds[o]}" for o in outputs))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +51,48 @@ def drop_cut(spark: SparkSession, df: DataFrame) -> None:
         drop_path(spark, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows at once to Python workers, where the session has the default: a batch of long texts stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
+_KEPT: dict = {}
+
+
+def kept(owner: str, key: object, make: Callable):
+    """What a Python worker keeps from task to task (known words, say): of the last operator only, so that what a
+    pipeline's stages keep does not add up."""
+    if _KEPT.get("of") != (owner, key):
+        _KEPT.clear()
+        give_back()
+        _KEPT.update(of=(owner, key), value=make())
+    return _KEPT["value"]
+
+
+def give_back() -> None:
+    """Freed memory of a Python worker to the system: a hint, without effect on results."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another libc
+
+
+def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A function for ``mapInArrow`` that gives freed memory back when its task is done."""
+
+    @wraps(run)
+    def tidied(batches: Iterable) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def small(df: DataFrame, row_bytes: int, bound: int = MAX_BROADCAST_BYTES) -> bool:
     """Whether ``df`` (a written cut, so this is a footer count) is within ``bound``."""
     return df.count() * row_bytes <= bound

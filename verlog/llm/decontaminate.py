@@ -15,18 +15,20 @@ columns are carried by ``clean_documents`` and ignored by ``find_contamination``
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, small_batches, tidy
 
-MAX_ITEM_WORDS = 1_000_000
+#: Words of one automaton, which a Python worker holds: about 1.2 KB each, so some 120 MB.
+MAX_ITEM_WORDS = 100_000
 #: ASCII letters fall to lower case; other ASCII but digits becomes a space.
 _TABLE = bytes((b | 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -162,12 +164,18 @@ def _merge(*spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _annotate(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[str], text_out: bool) -> DataFrame:
-    """``keep`` columns and text (null unless asked for), n_words, spans (flat int array of word places), items."""
+def _annotate(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[str], max_coverage: float | None = None) -> DataFrame:
+    """With the ``keep`` columns: n_words, spans (flat int array of word places), items; or, given ``max_coverage``, the
+    cleaned text of documents that are covered so far at most."""
     spark = docs.sparkSession
-    rows = docs.select(*(docs[c] for c in keep), docs["text"].cast("string").alias("__text"))
-    rows = rows.withColumns({"__spans": F.lit(None).cast("array<int>"), "__items": F.lit(None).cast("array<string>"), "__n": F.lit(0).cast("long")})
+    small_batches(spark)
+    name = lambda c: f"{c}_{uuid.uuid4().hex}"  # noqa: E731  columns of the caller's may have any name
+    text, spans_, items_ = name("text"), name("spans"), name("items")
+    rows = docs.select(*(docs[c] for c in keep), docs["text"].cast("string").alias(text))
+    rows = rows.withColumns({spans_: F.lit(None).cast("array<int>"), items_: F.lit(None).cast("array<string>")})
     schema = rows.schema
+    told = rows.select(*keep).schema
+    told = told.add("text", T.StringType()) if max_coverage is not None else told.add("n_words", T.LongType()).add("spans", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
     parts = _automata(benchmark, window)
     for k, part in enumerate(parts):
         automaton, last = spark.sparkContext.broadcast(part), k == len(parts) - 1
@@ -175,59 +183,54 @@ def _annotate(docs: DataFrame, benchmark: DataFrame, window: int, keep: list[str
         def run(batches: Iterable[pa.RecordBatch], automaton=automaton, last=last) -> Iterator[pa.RecordBatch]:
             scan = automaton.value.scan
             for batch in batches:
-                spans, items, n = [], [], []
-                for t, s, x in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True):
+                texts, spans, items, n = batch.column(text).to_pylist(), [], [], []
+                for t, s, x in zip(texts, batch.column(spans_).to_pylist(), batch.column(items_).to_pylist(), strict=True):
                     words = words_of(t or "")
                     at, found = scan(words)
-                    if s:
-                        at = _merge(at, list(zip(s[::2], s[1::2], strict=True)))
-                    spans.append([y for z in at for y in z])
+                    spans.append(_merge(at, list(zip(s[::2], s[1::2], strict=True))) if s else at)
                     items.append(sorted(found | set(x or ())))
                     n.append(len(words))
-                text = batch.column("__text") if text_out or not last else pa.nulls(batch.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), text, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array(n, pa.int64())], [*keep, "__text", "__spans", "__items", "__n"])
-
-        rows = rows.mapInArrow(run, schema)
+                own = [batch.column(c) for c in keep]
+                if last and max_coverage is not None:
+                    left = [sum(b - a for a, b in s) <= max_coverage * m for s, m in zip(spans, n, strict=True)]
+                    texts = pa.array([_cut_out(t, s) if s and t else t for t, s in zip(texts, spans, strict=True)], pa.string())
+                    yield pa.RecordBatch.from_arrays([*own, texts], [*keep, "text"]).filter(pa.array(left, pa.bool_()))
+                    continue
+                flat = pa.array([[y for z in s for y in z] for s in spans], pa.list_(pa.int32()))
+                found = pa.array(items, pa.list_(pa.string()))
+                if last:
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), flat, found], [*keep, "n_words", "spans", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*own, batch.column(text), flat, found], [*keep, text, spans_, items_])
+
+        rows = rows.mapInArrow(tidy(run), told if last else schema)
         if not last:
             rows = cut(spark, rows, "decontaminate")
     return rows
 
 
+def _cut_out(text: str, spans: list[tuple[int, int]]) -> str:
+    """``text`` without the words of the spans, from a span's first character to its last."""
+    raw = text.encode()
+    at = [(m.start(), m.end()) for m in _WORD.finditer(raw.translate(_TABLE))]
+    done, left = 0, []
+    for a, b in spans:
+        left.append(raw[done : at[a][0]])
+        done = at[b - 1][1]
+    return b"".join([*left, raw[done:]]).decode()
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items (array), spans (array of word places)."""
-    rows = _annotate(docs.select("doc_id", "text"), benchmark, window, ["doc_id"], False)
-    n_hit = F.expr("aggregate(__spans, 0L, (s, x) -> x - s) ")  # alternating sum, from the last end on: s' = x - s
-    return rows.select("doc_id", F.col("__n").alias("n_words"), n_hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.size("__spans") > 0).alias("contaminated"), F.col("__items").alias("items"), F.col("__spans").alias("spans"))
+    rows = _annotate(docs.select("doc_id", "text"), benchmark, window, ["doc_id"])
+    n_hit = F.expr("aggregate(spans, 0L, (s, x) -> x - s) ")  # alternating sum, from the last end on: s' = x - s
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), "items", "spans")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without the words that windows hit, from a span's first character to its last; a document of which
     more than ``max_coverage`` of the words are hit goes as a whole. n_chars, where there is one, is counted anew."""
-    keep = [c for c in docs.columns if c != "text"]
-    rows = _annotate(docs, benchmark, window, keep, True)
-    rows = rows.where(F.expr("aggregate(__spans, 0L, (s, x) -> x - s)") <= max_coverage * F.col("__n"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for t, s in zip(batch.column("__text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                if t is not None and s:
-                    raw = t.encode()
-                    at = [(m.start(), m.end()) for m in _WORD.finditer(raw.translate(_TABLE))]
-                    done, left = 0, []
-                    for a, b in zip(s[::2], s[1::2], strict=True):
-                        left.append(raw[done : at[a][0]])
-                        done = at[b - 1][1]
-                    t = b"".join([*left, raw[done:]]).decode()
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, "text"])
-
-    schema = rows.select(*keep, F.col("__text").alias("text")).schema
-    out = rows.mapInArrow(run, schema)
-    if "n_chars" in keep:
+    out = _annotate(docs, benchmark, window, [c for c in docs.columns if c != "text"], max_coverage)
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*docs.columns)
-
-
-def item_digest(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

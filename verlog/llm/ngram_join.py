@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, drop_cut, small
+from .common import connected_components, cut, drop_cut, kept, small, small_batches, tidy
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that are ordered last, at most: eight bytes each are broadcast. Elements that are counted together, and how
 #: often one must be among them to be reported.
-HOT_SHINGLES, HOT_LEAST, HOT_WINDOW = 65_536, 3, 4_000_000
+HOT_SHINGLES, HOT_LEAST, HOT_WINDOW = 65_536, 3, 2_000_000
 #: Bits of the shortest bitmap.
 LEAST_BITS = 1024
 #: Posting groups up to this size give all their pairs; postings of a hash range, pairs of a tile and members of a
@@ -78,9 +78,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _known() -> WordHashes:
     """One memo for each Python worker."""
-    if not hasattr(_known, "kept"):
-        _known.kept = WordHashes()
-    return _known.kept
+    return kept("ngram_join", None, WordHashes)
 
 
 def shingles(text: bytes, hashes: WordHashes) -> np.ndarray:
@@ -169,7 +167,7 @@ def shingle_table(docs: DataFrame) -> DataFrame:
         if parts:
             yield often(parts)
 
-    return rows.mapInArrow(run, "doc_id bigint, key bigint, n int, bitmap binary")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, key bigint, n int, bitmap binary")
 
 
 def _postings(docs: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
@@ -215,7 +213,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, bits: int) -> DataFrame:
         if k:
             yield blocks(h, k, n)
 
-    return rows.mapInArrow(run, "range int, h binary, k binary, n binary")
+    return rows.mapInArrow(tidy(run), "range int, h binary, k binary, n binary")
 
 
 def _group_pairs(h: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +254,7 @@ def _candidates(postings: DataFrame, bits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), *(pa.array(part[:, i]) for i in range(3))], ["kind", "a", "b", "m"])
 
     # each range is a task's worth of memory, so ranges are dealt out by number
-    return postings.repartition(1 << bits, "range").mapInArrow(run, "kind byte, a bigint, b bigint, m bigint")
+    return postings.repartition(1 << bits, "range").mapInArrow(tidy(run), "kind byte, a bigint, b bigint, m bigint")
 
 
 def _fits(n: int, m: int, differing: int) -> bool:
@@ -276,7 +274,7 @@ def _passing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [_fits(n, m, _differing(x, y)) for n, m, x, y in zip(*columns, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(pairs.sparkSession, rows.mapInArrow(run, "a bigint, b bigint"), "passing")
+    return cut(pairs.sparkSession, rows.mapInArrow(tidy(run), "a bigint, b bigint"), "passing")
 
 
 def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -341,7 +339,7 @@ def _verify(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
         if todo:
             yield links()
 
-    found = cut(spark, rows.mapInArrow(run, "a bigint, b bigint"), "links")
+    found = cut(spark, rows.mapInArrow(tidy(run), "a bigint, b bigint"), "links")
     for x in (placed, many, tiles, wanted):
         drop_cut(spark, x)
     return found
@@ -403,7 +401,7 @@ def _forest_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield told()
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _large_group_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -470,7 +468,7 @@ def _large_group_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -
         if base and not cols:
             yield told(columns_of()[1])
 
-    found = cut(spark, tiles.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct(), "pairs")
+    found = cut(spark, tiles.mapInArrow(tidy(run), "a bigint, b bigint").where("a <> b").distinct(), "pairs")
     drop_cut(spark, rows)
     drop_cut(spark, large)
     return found
@@ -502,6 +500,7 @@ def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _components(docs: DataFrame) -> DataFrame:
     """``near_duplicate_components`` of rows whose doc_id is theirs alone."""
     spark = docs.sparkSession
+    small_batches(spark)
     both = cut(spark, shingle_table(docs), "shingles")
     table = both.where("bitmap is not null")
     top = both.where("bitmap is null").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT_SHINGLES).select("key").collect()  # bounded by HOT_SHINGLES

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, kept, small_batches, tidy
 
 #: At most so many labelled rows are learned from: those of the smallest hashes.
 TRAIN_ROWS = 20_000
@@ -69,19 +69,25 @@ class Trie:
         # words one edit apart are equal after at most one deletion each: few others reach the automaton
         self.near = {v for t in strong for v in (t, *(t[:i] + t[i + 1 :] for i in range(len(t))))}
         self.longest = max(map(len, strong), default=0)
+        # one edit leaves the first two letters of a term or its last two as they are
+        self.heads, self.tails = {t[:2] for t in strong}, {t[-2:] for t in strong}
+        self.stems = {t[:STEM_FROM] for t in weights if t[-1] == "*"}
         self.swapped = {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: t for t in strong for i in range(len(t) - 1)}
 
     def find(self, word: str) -> tuple[str, int] | None:
         if word in self.weights:
             return word, 0
-        for k in range(STEM_FROM, min(STEM_TO, len(word)) + 1):
-            if (stem := word[:k] + "*") in self.weights:
-                return stem, 0
+        if word[:STEM_FROM] in self.stems:
+            for k in range(STEM_FROM, min(STEM_TO, len(word)) + 1):
+                if (stem := word[:k] + "*") in self.weights:
+                    return stem, 0
         if word in self.swapped:
             return self.swapped[word], 1
         if not word.isalpha() and (term := self.masked.get(_MARK.sub(MASK, word))):
             return term, 1
         n, near = len(word), self.near
+        if word[:2] not in self.heads and word[-2:] not in self.tails:
+            return None
         if not 4 <= n <= self.longest + 1 or not (word in near or any(word[:i] + word[i + 1 :] in near for i in range(n))):
             return None
         # automaton states as bits: places in the word that are reached with no edit, and with one
@@ -209,15 +215,17 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 def _featurize(rows: DataFrame, weights: dict[str, float], keep: list[str]) -> DataFrame:
     lexicon = rows.sparkSession.sparkContext.broadcast(weights)  # bounded: see MIN_TOXIC_SHARE
+    small_batches(rows.sparkSession)
+    key = hash(tuple(sorted(weights.items())))
     schema = rows.select("doc_id", *keep).schema.add("f", T.ArrayType(T.DoubleType()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(lexicon.value)
+        scorer = kept("toxicity", key, lambda: Scorer(lexicon.value))
         for batch in batches:
             f = [scorer.features(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c) for c in keep), pa.array(f, pa.list_(pa.float64()))], ["doc_id", *keep, "f"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, *, train=None, keep: tuple[str, ...] = ()) -> DataFrame:
