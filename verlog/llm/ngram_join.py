@@ -45,8 +45,8 @@ HOT_SHINGLES, HOT_LEAST, HOT_WINDOW = 65_536, 3, 2_000_000
 #: Bits of the shortest bitmap.
 LEAST_BITS = 1024
 #: Posting groups up to this size give all their pairs; postings of a hash range, pairs of a tile and members of a
-#: block of a large group, about.
-SMALL_GROUP, RANGE_POSTINGS, TILE_PAIRS, BLOCK = 16, 1_000_000, 2048, 2048
+#: block of a large group (and of its forest), about.
+SMALL_GROUP, RANGE_POSTINGS, TILE_PAIRS, BLOCK, FOREST_BLOCK = 16, 1_000_000, 2048, 2048, 8192
 #: Words kept by a worker, and documents whose sets it holds at once.
 MEMO_WORDS, SLICE = 150_000, 1000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -377,11 +377,12 @@ def _forest(keys: np.ndarray, n: np.ndarray, bits: np.ndarray) -> list[tuple[int
 
 def _forest_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs that are likely links between members of large groups: each member is in its largest group only, in blocks
-    of bounded size, in two windows of sizes. What is missed here, the full comparison finds."""
+    of bounded size, in two windows of sizes with different blocks, which so meet. What is missed here, the full
+    comparison finds."""
     own = members.groupBy("key").agg(F.max(F.struct("m", "h")).alias("x")).select("key", "x.m", "x.h")
     band = F.floor(F.log("n") / (2 * math.log(100 / PERCENT)) + F.col("half") / 2)
     rows = own.join(sets, "key").withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
-    rows = rows.withColumn("tile", F.xxhash64("h", "half", band, F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / BLOCK))))
+    rows = rows.withColumn("tile", F.xxhash64("h", "half", band, F.pmod(F.xxhash64("key", "half"), F.ceil(F.col("m") / FOREST_BLOCK))))
     rows = rows.select("tile", "key", "n", "bitmap").repartition("tile").sortWithinPartitions("tile", "key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
