@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from verlog.plans import catalog
+from verlog.plans import catalog, replay
+
+assert replay  # registers its queries
 
 DIR = "/root/testdata/sf0.001"
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from verlog.functions.keys import successor
-from verlog.operators import index, log, observe, routing
+from verlog.operators import index, log, observe, routing, store, txn
 from verlog.sources.jsonl import decode_cdc, write_cdc
 from verlog.streaming.changefeed import follow, materialized
 
@@ -71,7 +71,10 @@ def test_rebalance_and_tiers(spark):
     assert routing.rebalance({"n1": [1, 2, 3, 4], "n2": []}) == [(4, "n1", "n2"), (3, "n1", "n2")]
     assert routing.rebalance({"n1": [10, 11], "n2": [20, 21], "n3": []}) == [(21, "n2", "n3")]
     tables = spark.createDataFrame([(i, 0, s, False) for i, s in enumerate([100, 120, 150, 10_000], 1)], "table_id long, level int, file_size long, pinned boolean")
-    assert rows(log.pick_tiered(tables, 2.0, 3)) == [(0, 1), (0, 2), (0, 3)]
+    assert rows(log.pick_tiered(tables, 2.0, 3)) == [(1, 1), (2, 1), (3, 1)]
+    more = [(i, 2, 10, False) for i in range(10, 14)] + [(i, 1, s, False) for i, s in enumerate([1, 9, 9, 9, 100, 100, 100, 100], 20)]
+    more = spark.createDataFrame(more, tables.schema)
+    assert rows(log.pick_tiered(more)) == [(24, 2), (25, 2), (26, 2), (27, 2)] and rows(log.pick_tiered(more, least=9)) == []
 
 
 def test_access(spark):
@@ -85,6 +88,95 @@ def test_linearizable(history, ok):
     assert observe.linearizable(history) is ok
 
 
+def recover(records):
+    out, expected = [], None
+    for segment in sorted({r[0] for r in records}):
+        for _, pos, lsn, ok in sorted(r for r in records if r[0] == segment):
+            if not ok or expected not in (None, lsn):
+                return out
+            out.append((segment, pos, lsn, ok))
+            expected = lsn + 1
+    return out
+
+
+def test_wal_prefix_against_brute_force(spark):
+    random.seed(3)
+    for k in range(12):
+        lsn, records = 5, []
+        for segment in range(4):
+            for pos in range(6):
+                lsn += random.choice([1] * 12 + [0, 2]) if k else 1
+                records.append((segment, pos, lsn, k == 0 or random.random() > 0.03))
+        df = spark.createDataFrame(records, "segment long, pos long, lsn long, ok boolean")
+        want = recover(records)
+        assert rows(store.valid_prefix(df)) == want
+        report = store.recovery_report(df).first()
+        assert report["records"] == len(want) and report["last_lsn"] == (want[-1][2] if want else None)
+
+
+def test_crc32c(spark):
+    df = spark.createDataFrame([(b"123456789",), (b"",), (None,), (b"a" * 5000,)], "v binary")
+    got = [r[0] for r in df.select(store.crc32c(df["v"])).collect()]
+    assert got[:3] == [0xE3069283, 0, None] and got[3] > 0
+
+
+def test_snapshot_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "put", "x"), ("a", 2, "delete", None), ("b", 3, "put", "y")], SCHEMA)
+    target = store.export_snapshot(df, 2, f"file://{tmp_path}")
+    assert rows(log.scan(store.install_snapshot(spark, target))) == [] and rows(log.scan(store.install_snapshot(spark, target), 1)) == [("a", "x")]
+    assert store.release_snapshot(spark, target) and not store.release_snapshot(spark, target)
+
+
+def test_transactions(spark):
+    def run(*events):
+        df = spark.createDataFrame([(0, i, t, k, key, v) for i, (t, k, key, v) in enumerate(events)], "shard long, pos long, txn long, kind string, key string, value string")
+        return [(r["result"], r["value"]) for r in txn.replay(df).orderBy("pos").collect()]
+
+    begin = lambda t: (t, "begin", None, None)
+    # own writes are read; another's intent conflicts; a version after the snapshot conflicts, and the old one is read
+    assert run(begin(1), (1, "put", "k", "a"), (1, "get", "k", None), begin(2), (2, "put", "k", "b"), (2, "get", "k", None)) == [("ok", None), ("ok", None), ("ok", "a"), ("ok", None), ("conflict", None), ("ok", None)]
+    assert run(begin(1), begin(2), (2, "put", "k", "b"), (2, "commit", None, None), (1, "put", "k", "a"), (1, "get", "k", None), (2, "commit", None, None)) == [("ok", None)] * 4 + [("conflict", None), ("ok", None), ("unknown", None)]
+    # rollback frees the key
+    assert run(begin(1), (1, "put", "k", "a"), (1, "rollback", None, None), begin(2), (2, "delete", "k", None), (2, "commit", None, None))[-1] == ("ok", None)
+
+
+def test_clock(spark):
+    msgs = [(1, 0, 100, None), (1, 1, 100, None), (1, 2, 50, 200 << 16 | 7), (1, 3, 90, 5000 << 16), (1, 4, 300, 10 << 16)]
+    df = spark.createDataFrame(msgs, "node long, pos long, now long, remote long")
+    got = {r["pos"]: (r["stamp"] >> 16, r["stamp"] & 65535, r["rejected"]) for r in observe.hlc_fold(df, 500).collect()}
+    assert [got[i] for i in range(5)] == [(100, 0, False), (100, 1, False), (200, 8, False), (200, 8, True), (300, 0, False)]
+    assert [r["pos"] for r in observe.too_far_ahead(df).collect()] == [3]
+
+
+def test_histogram_of_null_group(spark):
+    df = spark.createDataFrame([("a", 5), (None, 5), (None, 70_000)], "g string, v long")
+    assert sum(r["n"] for r in observe.histogram(df, "g", "v").collect()) == 3
+    assert sorted(observe.percentile(df, "g", "v", 99).collect(), key=str)[0]["p"] in (10, 100_000)
+
+
+def test_counterexamples():
+    ops = [(0, 1, "put", "v1", None), (2, 3, "put", "v2", None), (2, 9, "get", None, "v2"), (4, 5, "get", None, "v1")]
+    assert observe.minimal_counterexample(ops) == [0, 1, 3] or observe.linearizable([ops[i] for i in observe.minimal_counterexample(ops)]) is False
+    found = observe.minimal_unsatisfiable_subsets(ops)
+    assert found[0] == [2] and [3] in found  # a get of what nobody wrote
+    assert observe.linearizable([(0, 1, "put", "a", "error"), (2, 3, "get", None, None)]) and observe.linearizable([(0, 1, "put", "a", "error"), (2, 3, "get", None, "a")])
+    assert observe.linearizable([(i, i, "put", "a", None) for i in range(15)]) is None
+
+
+def test_repeated_requests_and_epochs(spark):
+    acl = spark.createDataFrame([("a/", "tok-a")], "prefix string, token string")
+    asked = spark.createDataFrame([("a/b", "tok-a")] * 2 + [(None, "tok-a"), ("a/b", None)], "key string, token string")
+    assert [r["allowed"] for r in routing.authorize(asked, acl).collect()] == [True, True, False, False]
+    entries = spark.createDataFrame([(0, 0, 1, "x"), (1, 0, 1, "x"), (2, 0, 1, "y"), (3, 1, 2, "z")], "pos long, base_epoch long, epoch long, snapshot string")
+    assert [r[1:] for r in rows(routing.apply_epochs(entries))] == [("applied", 1), ("repeated", 1), ("stale", 1), ("applied", 2)]
+
+
+def test_backfill_exact_multiple(spark):
+    df = spark.createDataFrame([(f"k{i}", i + 1, "put", "a|b") for i in range(6)], SCHEMA)
+    got = rows(index.backfill_steps(df, "k", index.field("|", 1), 3).select("step", "scanned", "indexed", "complete"))
+    assert got == [(0, 3, 3, False), (1, 3, 3, False), (2, 0, 0, True)]
+
+
 def test_changefeed_resumes(spark, tmp_path):
     src, sink, mark = (str(tmp_path / x) for x in ("src", "sink", "mark"))
     one = spark.createDataFrame([("a", 1, "put", "x"), ("b", 2, "put", "y")], SCHEMA)

@@ -55,6 +55,14 @@ def get(log: DataFrame, key: str, read_ts: int | None = None) -> DataFrame:
     return scan(rows, read_ts)
 
 
+def latest_of_feed(events: DataFrame) -> DataFrame:
+    """Live (key, value) of events that may come twice: the newest (seq, then put over delete, then value) of each key,
+    in one aggregate, as taking the best drops repeated ones by itself."""
+    order = F.struct("seq", (F.col("op") == "put").alias("p"), F.coalesce("value", F.lit("")).alias("v"))
+    best = events.groupBy("key").agg(F.max_by(F.struct("op", "value"), order).alias("x"))
+    return best.where("x.op = 'put'").select("key", "x.value")
+
+
 def capped_scan(log: DataFrame, max_rows: int, read_ts: int | None = None, prefix: str = "", limit: int | None = None) -> DataFrame:
     """The ``max_rows`` smallest keys, tombstones counted, of which the live ones are given."""
     rows = versions_at(log, read_ts, prefix).orderBy("key").limit(max_rows).where("op = 'put'").select("key", "value")
@@ -125,20 +133,22 @@ def pick_leveled(tables: DataFrame, trigger: int = 4) -> DataFrame:
 
 
 def pick_tiered(tables: DataFrame, ratio: float = 1.5, least: int = 4) -> DataFrame:
-    """The first run, by size within a level, in which each table is at most ``ratio`` times the largest before it."""
-
-    def fold(t):
-        t = t.sort_values(["file_size", "table_id"])
-        run: list = []
-        for row in t.itertuples():
-            if run and row.file_size > ratio * run[-1].file_size:
-                if len(run) >= least:
-                    break
-                run = []
-            run.append(row)
-        ids = [r.table_id for r in run] if len(run) >= least else []
-        import pandas as pd
-
-        return pd.DataFrame({"level": t["level"].iloc[:1].repeat(len(ids)).to_numpy(), "table_id": ids})
-
-    return tables.where("not pinned").select("level", "table_id", "file_size").groupBy("level").applyInPandas(fold, "level int, table_id long")
+    """Of the least level that has one, the first run by size of ``least`` tables or more in which each is at most
+    ``ratio`` times the one before; its tables and the level above as output. A run ends where a table is larger."""
+    w = Window.partitionBy("level").orderBy("file_size", "table_id")
+    larger = F.coalesce(F.col("file_size") / F.greatest(F.lag("file_size").over(w), F.lit(1)) > ratio, F.lit(False))
+    rows = tables.where("not pinned").withColumn("larger", larger.cast("int")).withColumn("run", F.sum("larger").over(w))
+    runs = rows.groupBy("level", "run").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    first = runs.agg(F.min(F.struct("level", "run")).alias("x")).select("x.level", "x.run")
+    return rows.join(F.broadcast(first), ["level", "run"]).select("table_id", (F.col("level") + 1).alias("output_level"))  # one row
+
+
+def versions_of(log: DataFrame) -> DataFrame:
+    """All commit timestamps of each key, ascending."""
+    return log.groupBy("key").agg(F.sort_array(F.collect_list("seq")).alias("versions"))
+
+
+def watermarks(requests: DataFrame) -> DataFrame:
+    """requests (source, pos, watermark) with the watermark in force after each: it never falls."""
+    w = Window.partitionBy("source").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return requests.withColumn("effective", F.max("watermark").over(w))

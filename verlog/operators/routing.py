@@ -2,10 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a configuration table at most.
+MAX_RULES = 10_000
+
+
+def build_ranges(ranges: DataFrame) -> DataFrame:
+    """ranges (start, end, range_id, epoch, group_id) by start: ids that are 0 are given out in that order, each one above
+    all ids before it, an epoch of 0 becomes 1. A range table is configuration, one row a range."""
+    w = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    given = F.when(F.col("range_id") > 0, F.col("range_id")).otherwise(0)
+    rows = ranges.withColumns({"rn": F.row_number().over(Window.orderBy("start")), "new": (F.col("range_id") == 0).cast("long")}).withColumn("fresh", F.sum("new").over(w))
+    # the next id is the largest of: those given out so far plus one; a given id plus one plus those given out since
+    lead = F.max(F.when(F.col("range_id") > 0, given - F.col("fresh"))).over(w)
+    rows = rows.withColumn("range_id", F.when(F.col("range_id") > 0, F.col("range_id")).otherwise(F.greatest(F.coalesce(lead, F.lit(0)), F.lit(0)) + F.col("fresh")))
+    return rows.select("start", "end", "range_id", F.greatest("epoch", F.lit(1)).alias("epoch"), "group_id")
+
+
+def ranges_per_leader(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """nodes (leader) with the number and ids of the ranges (range_id, leader) they lead; ranges of no node are left out."""
+    held = ranges.where("leader is not null").groupBy("leader").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("range_id")).alias("ids"))
+    return nodes.join(held, "leader", "left").select("leader", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("ids"))
+
+
+def stale(requests: DataFrame, meta_epoch: int) -> DataFrame:
+    """requests (client_epoch) that must be answered with the new range table."""
+    return requests.where(F.col("client_epoch") < meta_epoch)
+
+
+def apply_epochs(entries: DataFrame) -> DataFrame:
+    """Outcome of range table entries (pos, base_epoch, epoch, snapshot), of a log as short as configuration: one on the
+    epoch in force is applied, one that repeats the table in force changes nothing, any other is stale."""
+
+    def fold(t):
+        import pandas as pd
+
+        now, held, out = 0, None, []
+        for e in t.sort_values("pos").itertuples():
+            if e.base_epoch == now:
+                now, held, outcome = e.epoch, e.snapshot, "applied"
+            else:
+                outcome = "repeated" if e.snapshot == held else "stale"
+            out.append((e.pos, outcome, now))
+        return pd.DataFrame(out, columns=["pos", "outcome", "in_force"])
+
+    return entries.select("pos", "base_epoch", "epoch", "snapshot", F.lit(1).alias("whole")).groupBy("whole").applyInPandas(fold, "pos long, outcome string, in_force long")
+
+
 def lookup(keys: DataFrame, ranges: DataFrame) -> DataFrame:
     """Keys with their range and group (0 if none). A range table is of bounded size (one row a group of nodes)."""
     r = F.broadcast(ranges.select("start", "end", "range_id", "group_id"))
@@ -67,12 +113,41 @@ def rebalance(nodes: dict[str, list[int]]) -> list[tuple[int, str, str]]:
     return moves
 
 
+def _rules(table: DataFrame, *columns: str) -> DataFrame:
+    """A configuration table as one row: an array, longest prefix first. Refused above ``MAX_RULES``, which bounds what
+    is broadcast and looked through for each request."""
+    if (n := table.count()) > MAX_RULES:
+        raise ValueError(f"{n} rules; at most {MAX_RULES}")
+    return F.broadcast(table.agg(F.sort_array(F.collect_list(F.struct((-F.octet_length("prefix")).alias("size"), *columns))).alias("rules")))
+
+
 def authorize(requests: DataFrame, acl: DataFrame) -> DataFrame:
-    """requests (key, token) with ``allowed``: the longest matching prefix decides alone; no match denies."""
-    rules = F.broadcast(acl.select(F.col("prefix"), F.col("token").alias("right")))  # rules are configuration
-    hit = requests.join(rules, F.col("key").startswith(F.col("prefix")), "left")
-    best = hit.groupBy(*requests.columns).agg(F.max_by("right", F.length("prefix")).alias("right"))
-    return best.select(*requests.columns, F.coalesce(F.col("right") == F.col("token"), F.lit(False)).alias("allowed"))
+    """requests (key, token) with ``allowed``: the longest matching prefix decides alone; no match denies. Each row is
+    judged by itself, without a shuffle, so repeated requests keep their rows."""
+    hit = F.filter("rules", lambda r: F.col("key").startswith(r["prefix"]))
+    right = F.get(hit, F.lit(0))["token"]
+    return requests.crossJoin(_rules(acl, "prefix", "token")).select(*requests.columns, F.coalesce(right == F.col("token"), F.lit(False)).alias("allowed"))
+
+
+def gate(requests: DataFrame, acl: DataFrame, tenants: DataFrame) -> DataFrame:
+    """requests (key, token) with ``verdict``: both layers must pass, and the tenant's is told first."""
+    own = F.exists("rules", lambda r: (r["token"] == F.col("token")) & F.col("key").startswith(r["prefix"]))
+    rows = requests.crossJoin(_rules(tenants, "prefix", "token")).select(*requests.columns, F.coalesce(own, F.lit(False)).alias("tenant_ok"))
+    rows = authorize(rows, acl)
+    return rows.select(*requests.columns, F.when(~F.col("tenant_ok"), "tenant denied").when(~F.col("allowed"), "acl denied").otherwise("allowed").alias("verdict"))
+
+
+def keyless(requests: DataFrame, acl: DataFrame, tenants: DataFrame) -> DataFrame:
+    """requests (token) whose token some tenant has and some rule: calls that name no key."""
+    return requests.join(acl.select("token").distinct(), "token", "left_semi").join(tenants.select("token").distinct(), "token", "left_semi")
+
+
+def parse_prefix(literal: Column) -> Column:
+    """A prefix as written in a configuration: 0x.. or hex:.. are hexadecimal (null if they are not), all else is text."""
+    low = F.lower(literal)
+    digits = F.when(low.startswith("0x"), F.substring(low, 3, 1 << 30)).when(low.startswith("hex:"), F.substring(low, 5, 1 << 30))
+    good = (F.length(digits) % 2 == 0) & digits.rlike("^[0-9a-f]*$")
+    return F.when(digits.isNull(), literal.cast("binary")).when(good, F.unhex(digits))
 
 
 def tenant_filter(requests: DataFrame, tenants: DataFrame) -> DataFrame:
@@ -136,3 +211,9 @@ def diverged(states: DataFrame) -> DataFrame:
     nodes = F.broadcast(rows.agg(F.countDistinct("node").alias("nodes")))
     per = rows.groupBy("key").agg(F.countDistinct("node").alias("have"), F.countDistinct("value").alias("values"))
     return per.crossJoin(nodes).where("have < nodes or values > 1").select("key")
+
+
+def elected(votes: DataFrame, voters: int) -> DataFrame:
+    """votes (term, voter, granted): a term is won by more than half of its voters; a voter counts once."""
+    per = votes.groupBy("term").agg(F.countDistinct(F.when(F.col("granted"), F.col("voter"))).alias("votes"))
+    return per.withColumn("elected", F.col("votes") > voters // 2)

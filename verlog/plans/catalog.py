@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..operators import index, log, observe, routing
+from ..operators import index, log, observe, routing, store
 from ..sources import tables as T
 from ..sources.jsonl import decode_cdc
 
@@ -105,7 +105,7 @@ def compaction_pick_leveled(spark, d):
     return log.pick_leveled(T.tables_meta(spark, d))
 
 
-@query()
+@query(f"with {META}, G as (select *, case when file_size > 1.5 * lag(file_size) over (partition by level order by file_size, table_id) then 1 else 0 end as larger from M where not pinned), N as (select *, sum(larger) over (partition by level order by file_size, table_id) as run from G), C as (select level, run from N group by level, run having count(*) >= 4 order by level, run limit 1) select table_id, cast(level + 1 as int) as output_level from N join C using (level, run)")
 def compaction_pick_tiered(spark, d):
     return log.pick_tiered(T.tables_meta(spark, d))
 
@@ -171,7 +171,7 @@ def cdc_compact(spark, d):
 @query(f"{WITH} select key, value from {latest('L')} where op = 'put'")
 def cdc_rebuild(spark, d):
     lines = observe.cdc_events(T.event_log(spark, d)).select(F.col("line").alias("value"))
-    return log.scan(log.dedupe(decode_cdc(lines).where("not error").select("key", "seq", "op", "value")))
+    return log.latest_of_feed(decode_cdc(lines).where("not error"))
 
 
 @query(f"{WITH}, {RANGES} select key, seq, range_id, coalesce(group_id, 0) as group_id from L left join R on key >= start and (\"end\" = '' or key < \"end\")")
@@ -328,22 +328,36 @@ def hlc_fold(spark, d):
     return observe.hlc_fold(e)
 
 
-@query("with W as (select o_orderkey % 7 as segment, o_orderkey as lsn, o_orderkey % 977 <> 976 as ok, o_orderkey - lag(o_orderkey) over (partition by o_orderkey % 7 order by o_orderkey) as step from orders), X as (select *, max(case when not ok or step > 7 then 1 else 0 end) over (partition by segment order by lsn) as seen from W) select segment, lsn, ok from X where seen = 0")
+def _wal(spark, d):
+    """Records of segments of a thousand; each 4,877th is bad, each 6,011th repeats the number before."""
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    return o.select(F.expr("k div 1000").alias("segment"), F.expr("k % 1000").alias("pos"), F.expr("k + 7 - if(k % 6011 = 6010, 1, 0)").alias("lsn"), F.expr("k % 4877 <> 4876").alias("ok"))
+
+
+WAL = "W as (select o_orderkey // 1000 as segment, o_orderkey % 1000 as pos, o_orderkey + 7 - case when o_orderkey % 6011 = 6010 then 1 else 0 end as lsn, o_orderkey % 4877 <> 4876 as ok from orders), X as (select *, case when not ok or lsn <> lag(lsn) over (order by segment, pos) + 1 then 1 else 0 end as bad from W), Y as (select *, max(bad) over (order by segment, pos) as seen from X)"
+
+
+@query(f"with {WAL} select segment, pos, lsn, ok from Y where seen = 0")
 def wal_prefix(spark, d):
-    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr("o_orderkey % 7").alias("segment"), F.expr("o_orderkey % 977 <> 976").alias("ok"))
-    rows = observe.valid_prefix(o.select("segment", F.expr("k div 7").alias("lsn"), "ok"))
-    return rows.select("segment", (F.col("lsn") * 7 + F.col("segment")).alias("lsn"), "ok")
+    return store.valid_prefix(_wal(spark, d))
+
+
+@query(f"with {WAL}, S as (select min(segment) as s from Y where seen = 1) select count(*) filter (where seen = 0) as records, max(lsn) filter (where seen = 0) as last_lsn, count(*) filter (where seen = 1 and segment = s) as truncated, count(distinct segment) filter (where segment > s) as ignored_segments from Y, S")
+def wal_report(spark, d):
+    return store.recovery_report(_wal(spark, d))
 
 
 @query("select s_suppkey as table_id from supplier where s_suppkey % 3 <> 0")
 def manifest_live(spark, d):
-    s = T.table(spark, d, "supplier")
-    return s.select(F.col("s_suppkey").alias("table_id")).join(s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("table_id")), "table_id", "left_anti")
+    s = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("table_id"))
+    edit = lambda rows, kind, seq: rows.select(seq.alias("edit_seq"), F.lit(kind).alias("kind"), "table_id", F.lit(None).cast("long").alias("sequence"), F.lit(True).alias("ok"))
+    edits = edit(s, "create", 2 * F.col("table_id")).unionByName(edit(s.where("table_id % 3 = 0"), "delete", 2 * F.col("table_id") + 1))
+    return store.replay_manifest(edits).select("table_id")
 
 
 @query("select event_id % 5000 as idx, min(event_id) as lsn from events group by 1")
 def apply_index_dedupe(spark, d):
-    return T.table(spark, d, "events").groupBy(F.expr("event_id % 5000").alias("idx")).agg(F.min("event_id").alias("lsn"))
+    return store.first_by_index(T.table(spark, d, "events").select(F.col("event_id").alias("pos"), F.expr("event_id % 5000").alias("idx"), F.col("event_id").alias("lsn")))
 
 
 @query(f"{WITH}, {OPS}, S as (select *, last_value(case when ok and op = 'put' then value end ignore nulls) over (partition by key order by pos rows between unbounded preceding and 1 preceding) as s from P) select pos, key from S where op = 'get' and ok and value is distinct from s")
@@ -359,7 +373,7 @@ def history_overlap(spark, d):
 
 @query(f"{WITH}, {OPS} select op, count(*) as n, cast(sum(case when ok then 1 else 0 end) as bigint) as acked, count(distinct key) as keys from P group by op")
 def history_stats(spark, d):
-    return _ops(spark, d).groupBy("op").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("long")).alias("acked"), F.countDistinct("key").alias("keys"))
+    return observe.history_stats(_ops(spark, d))
 
 
 @query("with X as (select o_orderkey as pos, o_custkey % 10 as src, (o_custkey + 1 + o_orderkey % 8) % 10 as dst, 1 + o_orderkey % 50 as amount from orders where o_orderstatus <> 'P'), G as (select pos, src as account, -amount as d from X union all select pos, dst, amount from X), R as (select account, d, sum(d) over (partition by account order by pos, d rows unbounded preceding) as run from G) select account, cast(sum(d) as bigint) as change, cast(min(run) as bigint) as lowest from R group by account")
@@ -415,7 +429,9 @@ def wgl_check(spark, d):
 @query()
 def rebalance_plan(spark, d):
     """Nodes and ranges are configuration: the plan is made on the driver."""
-    held: dict[str, list[int]] = {f"n{r['n_regionkey']}": [] for r in T.table(spark, d, "nation").select("n_regionkey").distinct().collect()}
-    for r in T.table(spark, d, "nation").where("n_nationkey < 18").collect():
-        held[f"n{r['n_regionkey'] // 2}"].append(r["n_nationkey"])
+    rows = T.table(spark, d, "nation").select("n_regionkey", "n_nationkey").collect()  # one row a range
+    held: dict[str, list[int]] = {f"n{r['n_regionkey']}": [] for r in rows}
+    for r in rows:
+        if r["n_nationkey"] < 18:
+            held[f"n{r['n_regionkey'] // 2}"].append(r["n_nationkey"])
     return spark.createDataFrame(routing.rebalance(held), "range_id long, from_node string, to_node string")
