@@ -251,6 +251,50 @@ def test_quality(docs, empty):
     assert quality_rules.quality(empty).count() == 0
 
 
+def test_quality_verdicts_against_brute_force(spark):
+    """Divergences and verdicts of a small corpus, with every step done plainly."""
+    import regex
+
+    rng = random.Random(8)
+    lists = {"en": "the of and to in is it for on with".split(), "xx": "ba bo bi bu".split(), None: "zz yy xx".split()}
+    text = lambda lang, n: " ".join(rng.choice(lists[lang]) if rng.random() < 0.5 else "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = [(i, text(lang := rng.choice(["en", "en", "en", None]), rng.randint(60, 200)), lang) for i in range(60)]
+    rows += [(60, text("xx", 120), "xx"), (61, " ".join("".join(rng.choice("QXZ#%$0123") for _ in range(7)) for _ in range(120)), "en"), (62, text("xx", 150), "en"), (63, None, "en"), (64, "kurz", "en"), (65, rows[0][1], rows[0][2])]
+    got = by_id(quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)))
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, _ in rows}
+    count = {}
+    for i, _, lang in rows:
+        for w in words[i]:
+            if regex.search(r"\p{L}", w):
+                of = count.setdefault(lang or "", {})
+                of[w.lower()] = of.get(w.lower(), 0) + 1
+    common = {lang: sorted(of, key=lambda w: (-of[w], w))[: quality_rules.COMMON] for lang, of in count.items()}
+    prior = {lang: [*(count[lang][w] for w in ws), sum(count[lang].values()) - sum(count[lang][w] for w in ws)] for lang, ws in common.items()}
+    regexes = [regex.compile(c.replace("[\\p{L}&&[^a-z\\p{Lu}]]", "[\\p{L}--[a-z\\p{Lu}]]").replace("[\\p{P}&&[^.,#*%&]]", "[\\p{P}--[.,#*%&]]"), regex.V1) for c in quality_rules.CLASSES.values()]
+    chars = {i: [len(x.findall(t or "")) for x in regexes] for i, t, _ in rows}
+    hits = {i: [*(h := [sum(w.lower() == c for w in words[i]) for c in common[lang or ""]]), len(words[i]) - sum(h)] for i, _, lang in rows}
+    plain = [i for i, _, _ in rows if not got[i]["base_failed"] and 20 * chars[i][5] <= len(words[i]) and 5 * chars[i][1] <= chars[i][0]]
+    add = lambda rows_, n: [sum(r[k] for r in rows_) for k in range(n)]
+    lang_of = {i: lang or "" for i, _, lang in rows}
+    every = add([chars[i] for i in plain], 7)
+
+    def jsd(p, q):
+        p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
+        m = (p + q) / 2
+        return sum(float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()) / 2 for x in (p, q))
+
+    for i, t, _ in rows:
+        lang, n, total = lang_of[i], len(words[i]), sum(chars[i])
+        own = [k for k in plain if lang_of[k] == lang]
+        ref_chars = [a + quality_rules.PRIOR_CHARS * b / sum(every) for a, b in zip(add([chars[k] for k in own], 7), every, strict=True)]
+        ref_words = [a + quality_rules.PRIOR_WORDS * b / sum(prior[lang]) for a, b in zip(add([hits[k] for k in own], len(prior[lang])), prior[lang], strict=True)]
+        c = jsd(chars[i], ref_chars) if total >= quality_rules.GUARD_CHARS else 0.0
+        w = jsd(hits[i], ref_words) if n >= quality_rules.GUARD_WORDS else 0.0
+        assert abs(got[i]["char_jsd"] - c) < 1e-9 and abs(got[i]["word_jsd"] - w) < 1e-9
+        assert got[i]["kept"] == (not got[i]["base_failed"] and c <= quality_rules.MAX_CHAR_JSD + quality_rules.CHAR_NOISE / max(total, 1) and w <= quality_rules.MAX_WORD_JSD + quality_rules.WORD_NOISE / max(n, 1))
+    assert got[60]["kept"] and not got[61]["kept"] and not got[62]["kept"]
+
+
 def test_pii(docs, empty):
     text = TEXTS[-1]
     got = by_id(pii.find(docs))
