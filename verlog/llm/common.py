@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode (tests), and an
+    error on a cluster, whose executors would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.conf.get("spark.master", "") or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="verlog-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
