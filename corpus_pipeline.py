@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verlog.llm import bpe, decontaminate, ngram_join, pii, toxicity
-from verlog.llm.common import cut, table
+from verlog.llm.common import cut, drop_cut, table
 from verlog.llm.queries import HELD_OUT, PATTERN, RANKS
 
 
@@ -52,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what a stage wrote goes when the next one has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = cut(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_cut(spark, before)
+        before = docs
     return docs
