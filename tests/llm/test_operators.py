@@ -59,6 +59,13 @@ def test_bpe(docs, empty):
         assert np.frombuffer(encoder.encode(s), "<u4").tolist() == lib.encode_ordinary(s)
 
 
+def test_bpe_by_higher_order_functions(spark):
+    ranks = bpe.load_ranks(RANKS)
+    words = ["a", "the", " tokenisation", "gämma", "漢字", "4111", "zzqxj", "😀"]
+    got = bpe.fold_words(spark.createDataFrame([(w,) for w in words], "word string"), ranks).collect()
+    assert {r["word"]: [ranks[bytes(p)] for p in r["pieces"]] for r in got} == {w: bpe.merge_word(w.encode(), ranks) for w in words}
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 

@@ -20,7 +20,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .common import kept, small_batches, tidy
 
@@ -117,6 +118,27 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """word and its pieces (binary), by Spark's higher-order functions alone: ``aggregate`` folds one ranked merge a step
+    over the word's pieces, a literal map has the ranks. ``words`` (word) are distinct and not null.
+
+    Right, but slow, as Spark looks a key of a map up by going through all of them: see the README for figures, and
+    ``RankMap`` for the form that the operator uses."""
+    spark, none = words.sparkSession, F.lit(NONE)
+    literal = F.broadcast(spark.createDataFrame([({t.hex(): r for t, r in ranks.items()},)], "ranks map<string,int>"))  # one vocabulary
+    hexed = F.lower(F.hex(F.col("word").cast("binary")))
+    each = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int")), lambda i: F.substring(hexed, i * 2 + 1, F.lit(2)))
+
+    def step(p: Column, _: Column) -> Column:
+        rank = lambda i: F.coalesce(F.try_element_at(F.col("ranks"), F.concat(F.get(p, i - 1), F.get(p, i))), none)
+        best = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: F.struct(rank(i).alias("r"), i.alias("i"))))
+        merged = lambda i: F.concat(F.slice(p, 1, i - 1), F.array(F.concat(F.get(p, i - 1), F.get(p, i))), F.slice(p, i + 2, F.size(p)))
+        return F.element_at(F.transform(F.array(best), lambda b: F.when((F.size(p) > 1) & (b["r"] < none), merged(b["i"])).otherwise(p)), 1)
+
+    pieces = F.aggregate(F.sequence(F.lit(1), F.length(hexed)), each, step)
+    return words.where("word <> ''").crossJoin(literal).select("word", F.transform(pieces, F.unhex).alias("pieces"))
+
+
 class RankMap:
     """The rank map as a hash table from two neighbouring ids to the id of their joined bytes, for many words at once."""
 
