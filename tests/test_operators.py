@@ -6,7 +6,7 @@ import pytest
 
 from verlog.functions.keys import successor
 from verlog.operators import index, log, observe, routing, store, txn
-from verlog.sources.jsonl import decode_cdc, write_cdc
+from verlog.sources.jsonl import decode_cdc, read_trace, trace_lines, write_cdc
 from verlog.streaming.changefeed import follow, materialized
 
 SCHEMA = "key string, seq long, op string, value string"
@@ -185,6 +185,14 @@ def test_changefeed_resumes(spark, tmp_path):
         observe.cdc_events(part).select("line").withColumnRenamed("line", "value").write.mode("append").text(src)
         follow(spark, src, sink, mark).awaitTermination(60)
     assert rows(log.scan(materialized(spark, sink))) == [("b", "y"), ("é", "ü")]
+    spark.createDataFrame([("no event",)], "value string").write.mode("append").text(src)
+    follow(spark, src, sink, mark).awaitTermination(60)
+    assert [r["line"] for r in spark.read.parquet(sink + "-errors").collect()] == ["no event"] and len(rows(materialized(spark, sink))) == 4
+    raw = decode_cdc(spark.createDataFrame([('{"v":1,"seq":1,"op":"put","key":"ff00","value":"fe"}',)], "value string"), binary=True).first()
+    assert (bytes(raw["key"]), bytes(raw["value"])) == (b"\xff\x00", b"\xfe")
+    events = spark.createDataFrame([(1, "sim_start", 7, None), (2, "op", None, "put")], "eid long, kind string, seed long, cmd string")
+    trace_lines(events).select("line").write.text(str(tmp_path / "trace"))
+    assert rows(read_trace(spark, str(tmp_path / "trace")).select("eid", "kind", "seed", "cmd")) == [(1, "sim_start", 7, None), (2, "op", None, "put")]
     write_cdc(observe.cdc_events(one), str(tmp_path / "again"))
     assert rows(decode_cdc(spark.createDataFrame([("nonsense",), ('{"v":2,"seq":1}',)], "value string")).select("error")) == [(True,), (True,)]
 
