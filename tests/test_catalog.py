@@ -3,9 +3,9 @@
 import duckdb
 import pytest
 
-from verlog.plans import catalog, replay
+from verlog.plans import catalog, formats, replay
 
-assert replay  # registers its queries
+assert formats and replay  # register their queries
 
 DIR = "/root/testdata/sf0.001"
 

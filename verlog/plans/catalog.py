@@ -235,12 +235,12 @@ def _all_reads(spark, d):
     return T.event_log(spark, d).select(F.col("seq").alias("txn"), "key", (F.col("seq") - 50).alias("snapshot"))
 
 
-@query()
+@query(f"{WITH}, T as (select seq as txn, key, seq - 50 as snapshot from L) select txn, T.key, snapshot, case when op = 'put' then value end as value from T asof left join L on T.key = L.key and T.snapshot >= L.seq")
 def txn_snapshot_read_all(spark, d):
     return routing.snapshot_reads(_all_reads(spark, d), T.event_log(spark, d))
 
 
-@query()
+@query(f"{WITH}, K as (select key, max(seq) as newest from L group by key) select seq as txn, key, seq - 50 as snapshot from L join K using (key) where newest > seq + 50")
 def txn_conflicts_all(spark, d):
     shifted = T.event_log(spark, d).withColumn("seq", F.col("seq") - 100)
     return routing.write_conflicts(_all_reads(spark, d), shifted)
@@ -389,7 +389,7 @@ def leader_per_term(spark, d):
     return routing.unsafe_terms(e.select(F.expr("event_id div 100").alias("term"), F.expr("user_id % 3").alias("leader")))
 
 
-@query()
+@query("select event_id // 100 as term, count(distinct user_id % 3) as leaders from events group by 1 having count(distinct user_id % 3) > 1")
 def leader_per_term_all(spark, d):
     e = T.table(spark, d, "events")
     return routing.unsafe_terms(e.select(F.expr("event_id div 100").alias("term"), F.expr("user_id % 3").alias("leader")))
