@@ -5,12 +5,14 @@ positions by a local rule (the least hash among the q-grams of a window), so onl
 
 1. ``_buckets``: picked positions fall into initial q-gram buckets. Buckets of one document alone are done.
 2. ``_contexts``: the positions of the others fetch the bytes around them, as far as a string over them can reach.
-3. ``_refine``: buckets are refined by the bucket identifiers of later offsets: identifiers of 2, 4, .. 32 bytes are
-   made of two identifiers of half the length, each level reusing the last, and a string's identifier of two of 32.
-   Sorting on it leaves buckets of equal strings; those after the smallest document are removed.
+3. ``_refine``: a bucket is refined offset by offset, to both sides of the q-gram: its rows are sorted on their bucket
+   pointer and the byte at the next offset, the new ranks are written back as pointers, and the next offset reuses
+   them; a row alone with its document is done. A string's bucket is the pair of the pointers as far as it reaches to
+   either side; in each, those after the smallest document are removed.
 4. ``_apply`` unites the removed strings of a document.
 
-Whole copies of a text go first, so that a group of copies costs one row each. Identifiers are 64-bit hashes.
+Whole copies of a text go first, so that a group of copies costs one row each. The initial buckets are of 64-bit hashes;
+refinement is by the bytes themselves.
 
 Defined results: null and empty texts have no bytes; texts under ``LENGTH`` bytes lose nothing; rows that share a
 doc_id do not cut each other; a null doc_id is neither smaller nor larger than any: its row stays whole and cuts
@@ -187,19 +189,43 @@ def _contexts(live: DataFrame, docs: DataFrame, bits: int, buckets: int) -> Data
     return _with_texts(live, docs, buckets, ["d", "h"]).mapInArrow(run, "place int, h binary, d binary, p binary, n binary, around binary")
 
 
-def _removed(d: np.ndarray, p: np.ndarray, n: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, starts and ends of strings that a smaller document holds too, of one hash range."""
-    ids, size = _BYTE[around], 1
-    while size < 32:
-        ids, size = _join(ids[:, :-size], ids[:, size:]), 2 * size
+def _pointers(bucket: np.ndarray, columns: Iterable[np.ndarray], d: np.ndarray) -> list[np.ndarray]:
+    """Bucket pointers of each row before and after each column of bytes: buckets are refined by sorting on (own bucket,
+    the byte at the next offset), the new rank is written back, and the next offset starts from it. Rows that are alone
+    with their document are done: -1 from there on. ``bucket`` ascends; rows stay in bucket order, so a sort finds long
+    runs in place."""
+    on, key, out = np.arange(len(d)), bucket, []
+    columns = iter(columns)
+    while True:
+        order = np.argsort(key, kind="stable")
+        on, key = on[order], key[order]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        rank, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        pointer = np.full(len(d), -1, np.int32)
+        if len(on):
+            shared = (np.minimum.reduceat(d[on], first) < np.maximum.reduceat(d[on], first))[rank]
+            on, rank = on[shared], rank[shared]
+            pointer[on] = rank
+        out.append(pointer)
+        column = next(columns, None)
+        if column is None:
+            return out
+        key = rank << 8 | column[on]
+
+
+def _removed(h: np.ndarray, d: np.ndarray, p: np.ndarray, n: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, starts and ends of strings that a smaller document holds too, of whole q-gram buckets, h ascending."""
+    wide, left = np.ascontiguousarray(around.T), WINDOW - 1
+    after = _pointers(h, (wide[left + Q + k] for k in range(left)), d)
+    before = _pointers(h, (wide[left - 1 - k] for k in range(left)), d)
     gap = np.zeros((len(d), WINDOW + 2), np.int8)
     p, n = p.astype(np.int64), n.astype(np.int64)
-    for o in range(WINDOW):
-        start = p - (WINDOW - 1) + o
-        on = np.flatnonzero((start >= 0) & (start + LENGTH <= n))
+    for o in range(WINDOW):  # the string of ``left - o`` bytes before the q-gram and ``o`` after it
+        start = p - left + o
+        on = np.flatnonzero((start >= 0) & (start + LENGTH <= n) & (after[o] >= 0) & (before[left - o] >= 0))
         if not len(on):
             continue
-        key = _mix(_join(ids[on, o], ids[on, o + LENGTH - 32]))
+        key = after[o][on].astype(np.int64) * len(d) + before[left - o][on]
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
         least = np.minimum.reduceat(d[on][order], first)
@@ -208,7 +234,7 @@ def _removed(d: np.ndarray, p: np.ndarray, n: np.ndarray, around: np.ndarray) ->
     step = np.diff(gap, axis=1)
     row, a = np.nonzero(step == 1)
     _, b = np.nonzero(step == -1)
-    at = p[row] - (WINDOW - 1)
+    at = p[row] - left
     return d[row], at + a, at + b - 1 + LENGTH
 
 
@@ -222,14 +248,14 @@ def _refine(contexts: DataFrame, bits: int, buckets: int) -> DataFrame:
             h, d, p, n, around = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*by.pop(r), strict=True), (np.uint64, np.int64, np.uint32, np.uint32, np.uint8), strict=True))
             around = around.reshape(-1, SPAN)
             order = np.argsort(h, kind="stable")
-            # whole buckets at a time, so that identifiers of few rows are in memory
+            # whole buckets at a time, so that pointers of few rows are in memory
             edge = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
             edge = np.append(edge, len(order))
             a = 0
             while a < len(edge) - 1:
                 b = max(a + 1, int(np.searchsorted(edge, edge[a] + 32_768, "right")) - 1)
                 on = order[edge[a] : edge[b]]
-                doc, start, end = _removed(d[on], p[on], n[on], around[on])
+                doc, start, end = _removed(h[on], d[on], p[on], n[on], around[on])
                 if len(doc):
                     yield _blocks((doc % buckets).astype(np.int32), ["d", "s", "e"], [doc, start.astype(np.uint32), end.astype(np.uint32)])
                 a = b
