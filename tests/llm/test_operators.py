@@ -153,10 +153,9 @@ def test_ngram_join_null_and_repeated_ids(spark):
     assert ngram_join.keep_one_of_each(only).count() == 2
 
 
-def test_suffix_dedup(docs, empty):
-    got = by_id(suffix_dedup.remove_repeats(docs, texts=True))
+def check_repeats(got, texts):
     seen: dict[bytes, int] = {}
-    for i, t in enumerate(TEXTS):
+    for i, t in enumerate(texts):
         raw = (t or "").encode()
         hit, new = bytearray(len(raw)), []
         for k in range(len(raw) - 49):
@@ -168,9 +167,26 @@ def test_suffix_dedup(docs, empty):
         kept = bytes(b for b, c in zip(raw, hit, strict=True) if not c)
         assert bytes(got[i]["kept"]) == kept
         assert got[i]["n_spans"] == len(re.findall(rb"\x01+", bytes(hit)))
+
+
+def test_suffix_dedup(docs, empty):
+    check_repeats(by_id(suffix_dedup.remove_repeats(docs, texts=True)), TEXTS)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_shared_buckets(spark):
+    """Passages that differ by a byte just before, within or after a shared q-gram, NUL bytes, and texts of one letter."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("ab") for _ in range(90))
+    changed = [base[:k] + "c" + base[k + 1 :] for k in range(0, 90, 3)]
+    cuts = [base[rng.randrange(40) : 50 + rng.randrange(40)] for _ in range(15)]
+    rest = ["a" * 49, "a" * 50, "a" * 51, "a" * 120, "\0" * 60, base + "\0" * 30, "\0" * 30 + base, "\0" * 55, base * 2, "é" * 40, "é" * 26]
+    texts = changed + cuts + rest
+    rng.shuffle(texts)
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    check_repeats(by_id(suffix_dedup.remove_repeats(data, texts=True)), texts)
+
+
 def test_decontamination(spark, docs, empty, monkeypatch):
     random.seed(3)
     for _ in range(300):
