@@ -318,6 +318,21 @@ def test_quality_verdicts_against_brute_force(spark):
     assert got[60]["kept"] and not got[61]["kept"] and not got[62]["kept"]
 
 
+def test_quality_common_words_of_all_documents(spark, monkeypatch):
+    """Every document counts for its language's words, however many there are, and every language has words of its own."""
+    n = 6_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('Alpha beta 12 ', if(id % 2 = 0, 'gamma', 'w' || id)) as text", "'en' as lang")
+    alone = spark.createDataFrame([(n + i, f"  only{i} only{i} 7\n", f"l{i}") for i in range(40)] + [(None, "beta", "en"), (n + 99, "7 8", "none"), (n + 98, None, None)], "doc_id long, text string, lang string")
+    got = {r["lang"]: r for r in quality_rules.common_words(quality_rules.word_counts(docs.unionByName(alone).repartition(5))).collect()}
+    assert got["en"]["common"][:3] == ["beta", "alpha", "gamma"] and list(got["en"]["prior"][:3]) == [n + 1, n, n // 2]
+    assert len(got["en"]["common"]) == quality_rules.COMMON and sum(got["en"]["prior"]) == 3 * n + 1
+    assert all((list(got[f"l{i}"]["common"]), list(got[f"l{i}"]["prior"])) == ([f"only{i}"], [2, 0]) for i in range(40))
+    assert set(got) == {"en", quality_rules.ANY, *(f"l{i}" for i in range(40))} and sum(got[quality_rules.ANY]["prior"]) == 3 * n + 81
+    rows = sorted(map(tuple, quality_rules.quality(alone).select("n_words", "kept", "word_jsd", "char_jsd").collect()))
+    monkeypatch.setattr(quality_rules, "MAX_BROADCAST_BYTES", 0)  # too many languages to broadcast
+    assert rows == sorted(map(tuple, quality_rules.quality(alone).select("n_words", "kept", "word_jsd", "char_jsd").collect()))
+
+
 def test_pii(docs, empty):
     text = TEXTS[-1]
     got = by_id(pii.find(docs))

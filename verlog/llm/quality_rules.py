@@ -1,9 +1,9 @@
 """Quality rules: distribution divergence from language references, with length guards. DataFrame functions only.
 
 Each document has two histograms, of character classes and of its language's common words. A language's common words
-are the most frequent ones of a bounded sample of documents; a language that is not in it has those of the whole sample.
+are the most frequent ones of all its documents; a language without a word of letters has those of all languages.
 The reference of a language is the sum of the histograms over all its documents that pass the base rules, on top of a
-prior of fixed weight: the shares of the sample, for character classes of all languages, for words of the language's
+prior of fixed weight: the shares of all documents, for character classes of all languages, for words of the language's
 own. So a language of few documents has a reference too, and no number of documents switches a test on. The
 Jensen-Shannon divergence from it (base 2, its root being a distance) decides, for documents long enough to have a
 histogram.
@@ -14,10 +14,10 @@ one of its own; ties and repeated rows get equal results; an empty table gives n
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import MAX_BROADCAST_BYTES, cut, drop_cut
 
 #: Base limits.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -25,10 +25,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 GUARD_CHARS, GUARD_WORDS = 200, 80
 #: Limits of the two divergences; a short text has more noise in its counts.
 MAX_CHAR_JSD, CHAR_NOISE, MAX_WORD_JSD, WORD_NOISE = 0.025, 12.0, 0.10, 6.0
-#: Documents (of the smallest hashes) that common words are chosen from, how many a language has, and the prior's weight
-#: in characters and words.
-SAMPLE_DOCS, COMMON, PRIOR_CHARS, PRIOR_WORDS = 5_000, 10, 20_000.0, 4_000.0
-#: The entry of the whole sample.
+#: How many common words a language has, and the prior's weight in characters and words.
+COMMON, PRIOR_CHARS, PRIOR_WORDS = 10, 20_000.0, 4_000.0
+#: The entry of all languages.
 ANY = "\0any"
 CLASSES = {"lower": "[a-z]", "upper": r"\p{Lu}", "other_letter": r"[\p{L}&&[^a-z\p{Lu}]]", "digit": r"\p{N}", "stop": "[.,]", "symbol": "[#*$%&|<>]", "punct": r"[\p{P}&&[^.,#*%&]]"}
 
@@ -52,29 +51,49 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return _let(hashes, lambda h: F.when(F.size(h) > F.size(F.array_distinct(h)), covered(h)).otherwise(F.lit(0).cast("long")))
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, text and words, without nulls but in doc_id."""
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, lang and text, without nulls but in doc_id."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.select("doc_id", lang.alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
-
-
-def common_words(docs: DataFrame) -> DataFrame:
-    """lang, common (its commonest words), prior (their counts in the sample and that of all other words): a row for each
-    language of the sample and one for all of it. Bounded by the sample."""
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)  # ids alone are sorted
-    few = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
-    words = _rows(few).select(F.explode(F.array("lang", F.lit(ANY))).alias("lang"), "words").select("lang", F.explode("words").alias("w")).where(F.col("w").rlike(r"\p{L}"))
-    counts = words.groupBy("lang", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
-    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "w"))), 1, COMMON)  # a language's words in the sample
-    found = counts.groupBy("lang").agg(top.alias("top"), F.sum("n").alias("n"))
-    own = F.transform("top", lambda x: -x["less"])
+    return docs.select("doc_id", lang.alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+
+
+def _words(text: Column) -> Column:
+    """The words of a text, and an empty one where it begins or ends with white space."""
+    return F.split(text, r"[\x20\x09-\x0D]+")
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """lang, w, n: how often all documents of a language have a word with a letter, in lower case."""
+    words = _texts(docs).select("lang", F.explode(_words(F.lower("text"))).alias("w"))
+    return words.groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("w").rlike(r"\p{L}"))
+
+
+def common_words(counts: DataFrame) -> DataFrame:
+    """lang, common (its commonest words), prior (their counts and that of all its other words): a row for each language
+    of ``counts`` and one for all of them. No task has more than ``COMMON`` words a language of another one."""
+    every = counts.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("lang"), "w", "n")
+    counts = counts.unionByName(every)
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("rank") <= COMMON)
+    top = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "w", "n"))).alias("top"))  # COMMON words a language
+    found = counts.groupBy("lang").agg(F.sum("n").alias("n")).join(top, "lang")
+    own = F.transform("top", lambda x: x["n"])
     return found.select("lang", F.transform("top", lambda x: x["w"]).alias("common"), F.concat(own, F.array(F.col("n") - F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x))).alias("prior"))
 
 
+def _few(common: DataFrame) -> bool:
+    """Whether what is held by language may be broadcast: so it is but for languages almost as many as documents."""
+    size = common.agg(F.sum(500 + F.octet_length(F.array_join("common", "")))).first()[0]
+    return (size or 0) <= MAX_BROADCAST_BYTES
+
+
+def _with_language(rows: DataFrame, by_lang: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(by_lang) if few else by_lang, "lang", "left")
+
+
 def document_features(docs: DataFrame, common: DataFrame) -> DataFrame:
     """doc_id, lang (of ``common``), the base counts and the two histograms (arrays of long)."""
-    rows = _rows(docs).join(F.broadcast(common.select("lang", "common")), "lang", "left")  # bounded by SAMPLE_DOCS
+    rows = _texts(docs).withColumn("words", F.array_remove(_words(F.col("text")), ""))
+    rows = _with_language(rows, common.select("lang", "common"), _few(common))
     every = F.broadcast(common.where(F.col("lang") == ANY).select(F.col("common").alias("any_common")))  # one row
     rows = rows.join(every, F.lit(True), "left").withColumn("n", F.size("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -123,7 +142,7 @@ def judge(features: DataFrame, common: DataFrame) -> DataFrame:
     every = rows.where(plain).agg(char_sums.alias("any_chars")).withColumn("any_chars", F.transform("any_chars", lambda x: F.coalesce(x, F.lit(0.0))))  # one row
     refs = common.select("lang", "prior").join(own, "lang", "left").crossJoin(F.broadcast(every))
     refs = refs.select("lang", _with_prior(F.col("own_chars"), F.col("any_chars"), PRIOR_CHARS).alias("ref_chars"), _with_prior(F.col("own_words"), F.col("prior"), PRIOR_WORDS).alias("ref_words"))
-    rows = rows.join(F.broadcast(refs), "lang", "left")  # bounded by SAMPLE_DOCS
+    rows = _with_language(rows, refs, _few(common))
     rows = rows.withColumn("total", F.aggregate("chars", F.lit(0).cast("long"), lambda s, x: s + x))
     chars, words = _jsd(F.col("chars").cast("array<double>"), F.col("ref_chars")), _jsd(F.col("hits").cast("array<double>"), F.col("ref_words"))
     rows = rows.withColumn("char_jsd", F.when(F.col("total") >= GUARD_CHARS, chars).otherwise(0.0)).withColumn("word_jsd", F.when(F.col("n_words") >= GUARD_WORDS, words).otherwise(0.0))
@@ -133,9 +152,11 @@ def judge(features: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, the base counts, base_failed, kept, char_jsd, word_jsd. The counts are written once, so that
-    the texts are read once; the written rows hold no text."""
+    """doc_id, n_words, the base counts, base_failed, kept, char_jsd, word_jsd. The texts are read twice, for the words of
+    the languages and for the counts, which are written; the written rows hold no text."""
     spark = docs.sparkSession
-    common = cut(spark, common_words(docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []))), "common")
+    counts = cut(spark, word_counts(docs), "words")
+    common = cut(spark, common_words(counts), "common")
+    drop_cut(spark, counts)
     rows = judge(cut(spark, document_features(docs, common), "quality"), common)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_jsd", "word_jsd")
