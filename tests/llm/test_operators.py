@@ -393,6 +393,37 @@ def test_pii_added_spans(spark):
     assert docs.columns == list(cleaned[0].asDict()) and cleaned[0]["spans"] == "x" and cleaned[0]["base"] == 1
 
 
+def test_pii_learns_from_all_candidates(spark, monkeypatch):
+    """Trees and thresholds over DataFrames are those of plain rows, of every candidate of every document, in any order."""
+    rng = random.Random(12)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(16, 44)))
+    texts = [rng.choice([f"token={secret()} a", f"see part-{i}-of-the-report/{i}", f"({secret()})", f"x={i * 7919}ab, y", f"call +1 {i * 7919 % 10**9 + 10**9} now"]) for i in range(4_800)]
+    rows = [(i % 4_790 if i % 900 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    forms = pii._forms(docs.repartition(5)).collect()
+    found = sum(len(r["found"]) for r in pii._with_base(docs).select("found").collect())
+    assert sum(r["n"] for r in forms) == found > 4_500 and 0 < sum(r["p"] for r in forms) < found
+    fit = [(list(r["f"]), int(k < r["p"])) for r in forms if not r["held"] for k in range(r["n"])]
+    trees, thresholds = pii._train(docs.repartition(3))
+    monkeypatch.setattr(pii, "DRIVER_ROWS", 0)  # too many for the driver
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    grouped, _ = pii._train(docs.repartition(2))
+    monkeypatch.undo()
+    want = pii.boost([x for x, _ in fit], [y for _, y in fit])
+
+    def same(a, b):
+        return a[:2] == b[:2] and same(a[2], b[2]) and same(a[3], b[3]) if isinstance(a, tuple) and isinstance(b, tuple) else abs(a - b) < 1e-6
+
+    assert len(trees) == len(want) == pii.ROUNDS and all(same(a, b) for a, b in zip(trees, want, strict=True))
+    assert len(grouped) == 3 and all(same(a, b) for a, b in zip(grouped, want, strict=False))
+    scores = {}
+    for r in forms:
+        if r["held"]:
+            scores.setdefault(r["g"], []).extend([pii._score(want, list(r["f"]))] * r["p"])
+    limits = {g: max(pii.LEAST_SCORE, pii.CONFIDENCE * sum(s) / len(s)) for g, s in scores.items() if len(s) >= pii.LEAST_PROVEN}
+    assert limits and limits.keys() == thresholds.keys() and all(abs(limits[g] - thresholds[g]) < 1e-6 for g in limits)
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a href='x'>Menu</a></nav><div class='tip'>Same tip</div><article><h1>H {0} &amp; x</h1><p>one  {0}<p>two<br>{0} <b>b</b><div class='comments'><p>bad</p></div></article><footer>f</footer></body>"
     rows = [(i, f"http://A.example/{i}", page.replace("{0}", f"n{i}")) for i in range(6)] + [(6, None, None), (7, "", ""), (8, "x", "plain  text"), (9, "http://b/", "<p>a<script>if (1<2) x</script><!-- c --><p>b &lt;3"), (9, "http://b/", "<p>a")]

@@ -8,30 +8,39 @@ from a candidate's own form and the characters around it. So the trees find what
 the proof. As such ones count as unproven in the fit, a score is an understatement; how much so, a part of the
 candidates tells that the trees were not fitted on: a generator's threshold is ``CONFIDENCE`` times the mean score of
 its proven ones there (Elkan and Noto 2008), and ``LEAST_SCORE`` at least. Of overlapping
-candidates the best scored stays. The trees are fitted on the candidates of a bounded sample of documents and compiled
-into CASE expressions: scoring is a lambda within the row, without a shuffle and without Python.
+candidates the best scored stays. All candidates of all documents are learned from, three in four by the trees, the
+others by the thresholds: candidates of one form are counted, their features put into bins at sixteenths of all values,
+and each level of a tree takes sums over the counted bins, on the driver where these are few, else grouped ones over the
+rows. Sums are of whole numbers, so that no order of rows changes a tree. The trees are compiled into CASE expressions: scoring is a lambda within the row, without a shuffle and
+without Python.
 
 Offsets are code points, ends exclusive. Matches are found by splitting: the lengths of what lies between them and
 of themselves add up to their places, in blocks, so that many matches of one text take linear time. Patterns begin
 where a run begins and never give back what they took, so long runs take linear time and no stack.
 
 Defined results: a null text is empty and has no spans (``redact`` leaves it null); equal rows get equal results; of
-overlapping added spans the best scored, then the leftmost, then the longest stays; no candidates in the sample, or of
-one label only: nothing is added; an empty table gives no rows; other columns, of whatever names, are carried by
+overlapping added spans the best scored, then the leftmost, then the longest stays; no candidates, or of one label
+only: nothing is added; an empty table gives no rows; other columns, of whatever names, are carried by
 ``redact`` and ignored by ``find``.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents (of the smallest hashes) and candidates that are learned from at most.
-TRAIN_DOCS, TRAIN_CANDIDATES = 10_000, 4_000
+from .common import cut, drop_cut
+
 #: Boosting: rounds, depth, shrinkage. Thresholds; proven candidates that a generator's calibration needs.
 ROUNDS, DEPTH, SHRINKAGE, CONFIDENCE, LEAST_SCORE, LEAST_PROVEN = 12, 3, 0.3, 0.9, 0.5, 5
+#: Bins of a feature; what gradients and scores are multiplied by and rounded for sums; rows of counted bins up to which
+#: the driver takes the sums.
+BINS, SCALE, DRIVER_ROWS = 16, 1 << 24, 50_000
 KINDS = ["email", "ip", "card", "phone"]
 _SPANS = "array<struct<s:int,e:int,v:string>>"
 #: Matches whose places are added up together.
@@ -144,64 +153,147 @@ def _touches(x: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
 
-def _labelled(docs: DataFrame) -> DataFrame:
-    """f, y, g, h of the candidates of a bounded sample of documents: features, label, generator and a hash."""
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = _with_base(docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id"))  # bounded by TRAIN_DOCS
+def _forms(docs: DataFrame) -> DataFrame:
+    """f, g, held, n, p of the candidates of all documents: features, generator, whether they are left to the
+    calibration, how many candidates there are of these and how many of them are proven."""
+    rows = _with_base(docs.select("doc_id", "text"))
     rows = rows.select(F.col("doc.doc_id").alias("doc_id"), "text", "base", F.explode("found").alias("x"))
     before = F.substring(F.col("text"), F.greatest(F.col("x.s") - 31, F.lit(1)), F.least(F.col("x.s"), F.lit(32)))
     proven = _touches(F.col("x"), F.col("base")) | before.rlike(CUE)
-    rows = rows.select(F.array(*_features(F.col("text"), F.col("x"))).alias("f"), proven.cast("int").alias("y"), F.col("x.g").alias("g"), F.xxhash64("doc_id", "x.s", "x.g").alias("h"))
-    return rows.orderBy("h", "y").limit(TRAIN_CANDIDATES)
+    held = F.pmod(F.xxhash64("doc_id", "x.s", "x.g"), F.lit(4)) == 0
+    rows = rows.select(F.array(*_features(F.col("text"), F.col("x"))).alias("f"), F.col("x.g").alias("g"), held.alias("held"), proven.cast("int").alias("y"))
+    return rows.groupBy("f", "g", "held").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
 
 
-def _train(docs: DataFrame) -> tuple[list, dict[str, float]]:
-    """(trees, thresholds) from a bounded sample; the trees are fitted on the driver, over plain rows."""
-    got = _labelled(docs).collect()  # bounded by TRAIN_CANDIDATES
-    return calibrated([(list(r["f"]), r["y"], r["g"], r["h"] % 4 == 0) for r in got])
+def _limits(fit: DataFrame, total: int) -> list[list[float]]:
+    """For each feature its values at the sixteenths of the ``total`` candidates, each once, by size."""
+    values = fit.select("n", F.posexplode("f").alias("j", "v")).groupBy("j", "v").agg(F.sum("n").alias("n"))
+    values = values.withColumn("upto", F.sum("n").over(Window.partitionBy("j").orderBy("v")))
+    met = F.expr(f"exists(sequence(0, {BINS - 1}), q -> ({total - 1} * bigint(q)) div {BINS} between upto - n and upto - 1)")
+    out: list[list[float]] = [[] for _ in FEATURES]
+    for r in values.where(met).select("j", "v").collect():  # BINS a feature
+        out[r["j"]].append(r["v"])
+    return [sorted(x) for x in out]
 
 
-def calibrated(rows: list[tuple[list[float], int, str, bool]]) -> tuple[list, dict[str, float]]:
-    """(trees fitted on the rows not held out, threshold of each generator from the others). ``rows``: features, label,
-    generator, held out. No trees if there is one label only; no threshold for a generator without enough proven ones."""
-    fit = [(x, y) for x, y, _, held in rows if not held]
-    if len({y for _, y in fit}) < 2:
+def _train(docs: DataFrame) -> tuple[list, dict[str, float]]:
+    """(trees fitted on the candidates not held out, threshold of each generator from the others), of all documents. No
+    trees if there is one label only; no threshold for a generator without enough proven ones. The driver has sums only."""
+    spark = docs.sparkSession
+    forms = cut(spark, _forms(docs), "pii-forms")
+    fit = forms.where(~F.col("held"))
+    n, p = fit.agg(F.sum("n"), F.sum("p")).first()
+    if not n or p in (0, n):
+        drop_cut(spark, forms)
         return [], {}
-    trees, scores = boost([x for x, _ in fit], [y for _, y in fit]), {}
-    for x, y, g, held in rows:
-        if held and y:
-            scores.setdefault(g, []).append(_score(trees, x))
-    return trees, {g: max(LEAST_SCORE, CONFIDENCE * sum(s) / len(s)) for g, s in scores.items() if len(s) >= LEAST_PROVEN}
+    limits = _limits(fit, n)
+    cuts = F.array(*(F.array(*(F.lit(float(c)) for c in of)) for of in limits))
+    bins = F.transform("f", lambda v, j: F.size(F.filter(F.get(cuts, j), lambda c: c < v)))
+    binned = cut(spark, fit.select(bins.alias("bins"), "n", "p").groupBy("bins").agg(F.sum("n").alias("n"), F.sum("p").alias("p")), "pii-bins")
+
+    if binned.count() <= DRIVER_ROWS:
+        rows = binned.collect()
+        trees = _grown(limits, _driver_sums([r["bins"] for r in rows], [r["n"] for r in rows], [r["p"] for r in rows]))
+    else:
+        trees = _grown(limits, _grouped_sums(binned))
+    proven = forms.where(F.col("held") & (F.col("p") > 0)).select("g", "p", (F.col("p") * F.rint(_compiled(trees, F.col("f")) * SCALE).cast("long")).alias("s"))
+    scores = proven.groupBy("g").agg(F.sum("p").alias("p"), F.sum("s").alias("s")).collect()  # a row a generator
+    drop_cut(spark, binned)
+    drop_cut(spark, forms)
+    return trees, {r["g"]: max(LEAST_SCORE, CONFIDENCE * r["s"] / SCALE / r["p"]) for r in scores if r["p"] >= LEAST_PROVEN}
+
+
+def _grouped_sums(binned: DataFrame) -> Callable:
+    """``sums`` of ``_grown`` over a DataFrame: bins, n (candidates of these), p (proven ones of them)."""
+
+    def sums(trees: list, splits: dict, least: int) -> dict:
+        def node(i: int) -> Column:
+            return F.when(F.col("bins")[splits[i][0]] <= splits[i][1], node(2 * i)).otherwise(node(2 * i + 1)) if i in splits else F.lit(i)
+
+        rows = binned.select("bins", "n", "p", node(1).alias("node"), _compiled(trees, F.col("bins")).alias("q")).where(F.col("node") >= least)
+        g, h = F.col("p") * SCALE - F.col("n") * F.rint(F.col("q") * SCALE).cast("long"), F.col("n") * F.rint(F.greatest(F.col("q") * (1 - F.col("q")), F.lit(1e-6)) * SCALE).cast("long")
+        rows = rows.select("node", "n", g.alias("g"), h.alias("h"), F.posexplode("bins").alias("j", "b")).groupBy("node", "j", "b").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
+        out: dict = {}
+        for r in rows.collect():  # at most 2 ** (DEPTH - 1) nodes of BINS + 1 bins a feature
+            out.setdefault(r["node"], {}).setdefault(r["j"], {})[r["b"]] = (r["n"], r["g"], r["h"])
+        return out
+
+    return sums
+
+
+def _driver_sums(bins: list, n: list, p: list) -> Callable:
+    """``sums`` of ``_grown`` over rows on the driver, of the columns of ``_grouped_sums``."""
+    b, count, proven = np.array(bins, np.int64), np.array(n, np.int64), np.array(p, np.int64)
+    z, done = np.zeros(len(b)), 0
+
+    def leaf(tree) -> np.ndarray:
+        return np.where(b[:, tree[0]] <= tree[1], leaf(tree[2]), leaf(tree[3])) if isinstance(tree, tuple) else np.full(len(b), tree)
+
+    def sums(trees: list, splits: dict, least: int) -> dict:
+        nonlocal z, done
+
+        def node(i: int) -> np.ndarray:
+            return np.where(b[:, splits[i][0]] <= splits[i][1], node(2 * i), node(2 * i + 1)) if i in splits else np.full(len(b), i)
+
+        for tree in trees[done:]:
+            z, done = z + leaf(tree), done + 1
+        q = 1 / (1 + np.exp(-z))
+        rounded = lambda x: np.rint(x * SCALE).astype(np.int64)
+        added = np.stack([count, proven * SCALE - count * rounded(q), count * rounded(np.maximum(q * (1 - q), 1e-6))], axis=1)
+        at, out = node(1), {}
+        for i in np.unique(at[at >= least]).tolist():
+            on = at == i
+            for f in range(b.shape[1]):
+                table = np.zeros((BINS + 1, 3), np.int64)
+                np.add.at(table, b[on, f], added[on])
+                out.setdefault(i, {})[f] = {k: tuple(x) for k, x in enumerate(table.tolist()) if x[0]}
+        return out
+
+    return sums
+
+
+def _grown(limits: list[list[float]], sums: Callable) -> list:
+    """Boosted regression trees for the logistic loss. A tree is a leaf value or (feature, limit, low tree, high tree).
+    ``sums(trees, splits, least)`` has, for each node from ``least`` on of the tree that ``splits`` begins (the root is 1,
+    the nodes under i are 2 i and 2 i + 1), each feature and bin, the candidates and their sums of gradients and of second
+    derivatives, times SCALE, after ``trees``, which are of bins."""
+    trees: list = []
+    for _ in range(ROUNDS):
+        splits: dict[int, tuple[int, int]] = {}
+        leaves: dict[int, float] = {}
+        for depth in range(DEPTH):
+            for node, of in sums(trees, splits, 2**depth).items():
+                n, gs, hs = (sum(x[k] for x in of[0].values()) for k in range(3))
+                gs, hs, best = gs / SCALE, hs / SCALE, (1e-3, None, None, None)
+                leaves.setdefault(node, SHRINKAGE * gs / (hs + 1))
+                for f, cuts in enumerate(limits):
+                    low = gl = hl = 0
+                    for k in range(len(cuts) - 1):
+                        low, gl, hl = (a + b for a, b in zip((low, gl, hl), of[f].get(k, (0, 0, 0)), strict=True))
+                        if n >= 10 and 5 <= low <= n - 5:
+                            a, b = gl / SCALE, hl / SCALE
+                            gain = a * a / (b + 1) + (gs - a) ** 2 / (hs - b + 1) - gs * gs / (hs + 1)
+                            best = max(best, (gain, f, k, (a, b)), key=lambda t: t[0])
+                if best[1] is not None:
+                    splits[node], (a, b) = best[1:3], best[3]
+                    leaves[2 * node], leaves[2 * node + 1] = SHRINKAGE * a / (b + 1), SHRINKAGE * (gs - a) / (hs - b + 1)
 
+        def built(i: int):
+            return (*splits[i], built(2 * i), built(2 * i + 1)) if i in splits else leaves[i]
 
-def boost(x: list[list[float]], y: list[int]) -> list:
-    """Boosted regression trees for the logistic loss. A tree is a leaf value or (feature, limit, low tree, high tree)."""
-    z = [0.0] * len(y)
-    limits = [sorted({sorted(col)[(len(col) - 1) * q // 16] for q in range(16)}) for col in zip(*x, strict=True)]
-    trees = []
-    for _ in range(ROUNDS):
-        p = [1 / (1 + math.exp(-v)) for v in z]
-        g, h = [b - a for a, b in zip(p, y, strict=True)], [max(a * (1 - a), 1e-6) for a in p]
+        trees.append(built(1))
 
-        def grow(on: list[int], depth: int):
-            gs, hs = sum(g[i] for i in on), sum(h[i] for i in on)
-            best = (1e-3, None, None)
-            if depth and len(on) >= 10:
-                for f, cuts in enumerate(limits):
-                    for c in cuts[:-1]:
-                        low = [i for i in on if x[i][f] <= c]
-                        if 5 <= len(low) <= len(on) - 5:
-                            gl, hl = sum(g[i] for i in low), sum(h[i] for i in low)
-                            gain = gl * gl / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs * gs / (hs + 1)
-                            best = max(best, (gain, f, c), key=lambda t: t[0])
-            if best[1] is None:
-                return SHRINKAGE * gs / (hs + 1)
-            _, f, c = best
-            return f, c, grow([i for i in on if x[i][f] <= c], depth - 1), grow([i for i in on if x[i][f] > c], depth - 1)
-
-        trees.append(grow(list(range(len(y))), DEPTH))
-        z = [v + _leaf(trees[-1], row) for v, row in zip(z, x, strict=True)]
-    return trees
+    def valued(tree):
+        return (tree[0], limits[tree[0]][tree[1]], valued(tree[2]), valued(tree[3])) if isinstance(tree, tuple) else tree
+
+    return [valued(t) for t in trees]
+
+
+def boost(x: list[list[float]], y: list[int]) -> list:
+    """The trees of plain rows on the driver, of features and labels: what ``_train`` does over DataFrames."""
+    limits = [sorted({sorted(col)[(len(col) - 1) * q // BINS] for q in range(BINS)}) for col in zip(*x, strict=True)]
+    bins = [[bisect_left(of, v) for of, v in zip(limits, row, strict=True)] for row in x]
+    return _grown(limits, _driver_sums(bins, [1] * len(y), y))
 
 
 def _leaf(tree, row: list[float]) -> float:
@@ -220,7 +312,7 @@ def _compiled(trees: list, f: Column) -> Column:
             return F.lit(float(tree))
         return F.when(f[tree[0]] <= float(tree[1]), case(tree[2])).otherwise(case(tree[3]))
 
-    total = sum((case(t) for t in trees[1:]), case(trees[0]))
+    total = sum((case(t) for t in trees), F.lit(0.0))
     return 1 / (1 + F.exp(-total))
 
 
