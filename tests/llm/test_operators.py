@@ -559,3 +559,16 @@ def test_pipeline_rows(spark, tmp_path):
             want.add((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     got = [tuple(r) for r in corpus_pipeline.run(spark, str(d)).collect()]
     assert len(got) == len(want) == 14 and set(got) == want
+
+
+def test_pipeline_learns_personal_data_from_every_row(spark):
+    """Named tokens in rows without a doc_id count for the stage's trees and thresholds as all others do."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(None, f"{prose(30)} token = \"{secret()}\" {prose(5)}") for _ in range(200)] + [(None, f"{prose(30)} see section-{i}-of-the-report/{i} {prose(5)}") for i in range(200)]
+    bare = [secret() for _ in range(50)]
+    docs = spark.createDataFrame(rows + [(i, f"{prose(30)} (\"{x}\") {prose(5)}") for i, x in enumerate(bare)], "doc_id long, text string")
+    cleaned = by_id(corpus_pipeline.redact_personal_data(spark, docs, ""))
+    assert sum(x not in cleaned[i]["text"] for i, x in enumerate(bare)) >= 45
