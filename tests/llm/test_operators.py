@@ -572,3 +572,49 @@ def test_pipeline_learns_personal_data_from_every_row(spark):
     docs = spark.createDataFrame(rows + [(i, f"{prose(30)} (\"{x}\") {prose(5)}") for i, x in enumerate(bare)], "doc_id long, text string")
     cleaned = by_id(corpus_pipeline.redact_personal_data(spark, docs, ""))
     assert sum(x not in cleaned[i]["text"] for i, x in enumerate(bare)) >= 45
+
+
+def test_pipeline_learns_toxicity_from_every_label(spark, tmp_path):
+    """More than 20,000 labelled rows; the toxic ones are those of the largest hashes, which a sample of the smallest left out."""
+    import corpus_pipeline
+
+    ids = spark.range(30_000).orderBy(F.xxhash64("id"))
+    ids = [r["id"] for r in ids.collect()]
+    toxic = set(ids[-800:])
+    rows = [(i, f"a kind word of {i % 97} people" + (" you worthless scoundrel" if i in toxic else ""), "en") for i in ids]
+    docs = spark.createDataFrame([*rows, (None, "a worthless scoundrel", "en")], "doc_id long, text string, lang string")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in ids], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in left.collect()} == set(ids) - toxic
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Training rows against a plain join, also where ids share bits; sums of tasks and of the driver are the same numbers."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, rng.randint(0, 9_000)]) if i % 50 == 0 else i, f"text {i}") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    known = {rng.randint(-50, 9_000): rng.randint(0, 1) for _ in range(4_000)}
+    want = sorted((i, t, known[i]) for i, t in rows if i in known)
+    lab = spark.createDataFrame(list(known.items()), "doc_id long, toxic int")
+    passed = toxicity._maybe_labelled(docs, lab)
+    assert passed.columns == docs.columns and len(want) < passed.count() < 0.75 * len(rows)
+    for most in (toxicity.MAX_BITS, 1):
+        monkeypatch.setattr(toxicity, "MAX_BITS", most)
+        assert sorted(map(tuple, toxicity._train_rows(docs.repartition(3), lab).collect())) == want
+
+    x = [[rng.choice([0.0, rng.uniform(0, 3)]) for _ in range(toxicity.N_FEATURES)] for _ in range(700)]
+    y = [int(sum(v) + rng.gauss(0, 2) > 6) for v in x]
+    n = [rng.choice([1, 1, 3, 40_000]) for _ in x]
+    counted = spark.createDataFrame(list(zip(x, y, n, strict=True)), "f array<double>, toxic int, n long").repartition(5)
+    beta = toxicity._fit(toxicity._driver_sums(counted.collect()))
+    assert beta.tolist() == toxicity._fit(toxicity._task_sums(counted.repartition(3))).tolist()
+    full, t, w = np.hstack([np.array(x), np.ones((len(x), 1))]), np.array(y, float), np.array(n, float)
+    slope = full.T @ (w * (t - 1 / (1 + np.exp(-full @ beta)))) - np.append(beta[:-1], 1e-6 * beta[-1])
+    assert np.abs(slope).max() < 1e-3 and np.abs(beta).max() > 0.5  # the ridged likelihood is flat there
+    docs = spark.createDataFrame([(i, prose(20) + (" worthless scoundrel" if i % 3 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    lab = docs.select("doc_id", F.expr("int(doc_id % 3 = 0)").alias("toxic"))
+    monkeypatch.undo()
+    few = toxicity.learn(docs, lab, F.lit(True))
+    monkeypatch.setattr(toxicity, "DRIVER_ROWS", 0)
+    many = toxicity.learn(docs.repartition(7), lab, F.lit(True))
+    assert few[0] == many[0] and few[1].tolist() == many[1].tolist()

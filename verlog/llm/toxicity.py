@@ -8,7 +8,10 @@ It lies in a trie; a word of a text is looked up by walking the trie together wi
 terms are met too. A token is looked up by its runs of letters, as a whole with the digits and marks inside of it, and
 by its letters alone, so neither a digit for a letter nor marks between letters hide a term. Each hit is weighed by its
 window: quotation marks around it speak for a mention, further hits near by for abuse. A logistic regression over
-the sums of these weights, fitted on a bounded sample of labelled rows, gives the score.
+the sums of these weights gives the score. Lexicon and regression are learned from all labelled rows: a bitmap of hashed
+ids, which is broadcast, leaves out most texts without a label before a join; rows of equal features are counted, and
+each of Newton's steps takes sums over them, on the driver where these are few, else in tasks. Sums are of whole
+numbers, so that no order of rows changes a score.
 
 Defined results: null and empty texts have no hits and score as such; label rows with a null are left out, repeated
 ones count once (toxic wins); repeated documents get equal scores; no labels: nothing is learned and every score is
@@ -18,7 +21,7 @@ ones count once (toxic wins); repeated documents get equal scores; no labels: no
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_cut, kept, small_batches, tidy
+from .common import MAX_BROADCAST_BYTES, cut, drop_cut, kept, small_batches, tidy
 
-#: At most so many labelled rows are learned from: those of the smallest hashes.
-TRAIN_ROWS = 20_000
+#: The bitmap of ids: bits for each, bits at most (more ids share them then), bits of a binary of Spark's bitmap functions.
+ID_BITS, MAX_BITS, BUCKET = 8, 8 * MAX_BROADCAST_BYTES, 1 << 15
+#: What terms of the regression's sums are multiplied by and rounded; counted rows up to which the driver takes the sums.
+SCALE, DRIVER_ROWS = 1 << 30, 50_000
 #: What a term must show. As each is in at least ``MIN_TOXIC_SHARE`` of the toxic training rows, the lexicon has at most
 #: the mean number of distinct words and stems of such a row divided by that share.
 MIN_TOXIC_DOCS, MIN_TOXIC_SHARE, MIN_LOG_ODDS = 3, 0.015, 2.0
@@ -164,17 +169,28 @@ class Scorer:
         return [np.log1p(plain), np.log1p(quoted), top / 5, min(len(terms), 8) / 4, min(1.0, 20 * len(places) / len(at)), float(plain > 0)]
 
 
-def _train_rows(docs: DataFrame, labels: DataFrame, train: object) -> DataFrame:
-    """doc_id, text, toxic of the labelled training rows of the smallest hashes."""
-    lab = labels.where("doc_id is not null and toxic is not null").where(train).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(lab), "doc_id")  # bounded by TRAIN_ROWS
+def _maybe_labelled(docs: DataFrame, lab: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows whose doc_id is not in ``lab`` (a written cut); all others stay."""
+    buckets = min(lab.count() * ID_BITS, MAX_BITS) // BUCKET + 1
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(buckets * BUCKET)).alias("place")
+    maps = lab.select(place).groupBy(F.expr(f"place div {BUCKET}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"place % {BUCKET}")).alias("bits"))
+    is_set = F.expr(f"bit_get(bigint(conv(hex(substring(bits, int(place % {BUCKET} div 8) + 1, 1)), 16, 10)), int(place % 8)) = 1")
+    rows = docs.select("*", place).join(F.broadcast(maps), F.expr(f"place div {BUCKET} = bucket") & is_set)  # bounded by MAX_BITS
+    return rows.select(*docs.columns)
+
+
+def _train_rows(docs: DataFrame, lab: DataFrame) -> DataFrame:
+    """doc_id, text, toxic of all rows of ``docs`` that ``lab`` (doc_id, toxic; a written cut) has."""
+    return _maybe_labelled(docs.select("doc_id", F.col("text").cast("string").alias("text")), lab).join(lab, "doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, train) -> tuple[dict[str, float], np.ndarray | None]:
     """(lexicon with weights, coefficients with the intercept last). ``train``: which rows may be learned from."""
     spark = docs.sparkSession
-    rows = cut(spark, _train_rows(docs, labels, train), "toxicity-train")
+    lab = labels.where("doc_id is not null and toxic is not null").where(train).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    lab = cut(spark, lab, "toxicity-labels")
+    rows = cut(spark, _train_rows(docs, lab), "toxicity-train")
+    drop_cut(spark, lab)
     total = rows.agg(F.sum("toxic").alias("p"), F.sum(F.expr("1 - toxic")).alias("n")).first()
     pos, neg = total["p"] or 0, total["n"] or 0
     if not pos or not neg:
@@ -195,18 +211,55 @@ def learn(docs: DataFrame, labels: DataFrame, train) -> tuple[dict[str, float],
     found = [r for w, r in terms.items() if not any(w[:k] + "*" in terms and w[:k] + "*" != w for k in range(STEM_FROM, min(STEM_TO, len(w)) + 1))]
     # a term seen in a few documents only may be chance: its weight shrinks
     weights = {r["w"]: float(r["odds"] * r["p"] / (r["p"] + 3)) for r in found}
-    x = _featurize(rows.select("doc_id", "text", "toxic"), weights, ["toxic"]).select("f", "toxic").collect()  # bounded by TRAIN_ROWS
+    features = _featurize(rows.select("doc_id", "text", "toxic"), weights, ["toxic"])
+    counted = cut(spark, features.groupBy("f", "toxic").agg(F.count("*").alias("n")), "toxicity-features")
     drop_cut(spark, rows)
-    return weights, _fit(np.array([r["f"] for r in x]), np.array([r["toxic"] for r in x], float))
+    beta = _fit(_driver_sums(counted.collect()) if counted.count() <= DRIVER_ROWS else _task_sums(counted))
+    drop_cut(spark, counted)
+    return weights, beta
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression with a ridge, by Newton's steps."""
+def _terms(x: np.ndarray, y: np.ndarray, n: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """First and negative second derivatives of the log-likelihood at ``beta`` (the intercept last) over rows that are
+    there ``n`` times: whole numbers, each row's times SCALE and rounded."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    beta, penalty = np.zeros(x.shape[1]), np.diag([ridge] * (x.shape[1] - 1) + [1e-6])
+    z = sum(x[:, k] * b for k, b in enumerate(beta))  # not by BLAS, which adds in an order of its own
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    rounded = lambda v: n @ np.rint(v * SCALE).astype(np.int64)
+    w = p * (1 - p) + 1e-9
+    return np.concatenate([rounded((y - p)[:, None] * x), *(rounded((w * x[:, k])[:, None] * x) for k in range(x.shape[1]))])
+
+
+def _driver_sums(rows: list) -> Callable:
+    """``sums`` of ``_fit`` over rows on the driver: f, toxic, n."""
+    x, y, n = np.array([r["f"] for r in rows]), np.array([r["toxic"] for r in rows], float), np.array([r["n"] for r in rows], np.int64)
+    return lambda beta: _terms(x, y, n, beta).tolist()
+
+
+def _task_sums(counted: DataFrame) -> Callable:
+    """``sums`` of ``_fit`` over a DataFrame of the columns of ``_driver_sums``."""
+
+    def sums(beta: np.ndarray) -> list[int]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column("f").flatten().to_numpy().reshape(-1, N_FEATURES)
+                    v = _terms(x, batch.column("toxic").to_numpy().astype(float), batch.column("n").to_numpy(), beta)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v)], ["k", "v"])
+
+        added = counted.mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum(F.col("v").cast("decimal(20,0)")).alias("v"))
+        return [int(r["v"]) for r in sorted(added.collect(), key=lambda r: r["k"])]  # one for each derivative
+
+    return sums
+
+
+def _fit(sums: Callable, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression with a ridge, by Newton's steps. ``sums(beta)``: what ``_terms`` gives for all rows."""
+    width = N_FEATURES + 1
+    beta, penalty = np.zeros(width), np.diag([ridge] * N_FEATURES + [1e-6])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(x.T * (p * (1 - p) + 1e-9) @ x + penalty, x.T @ (y - p) - penalty @ beta)
+        got = np.array([v / SCALE for v in sums(beta)])
+        step = np.linalg.solve(got[width:].reshape(width, width) + penalty, got[:width] - penalty @ beta)
         beta += step
         if np.abs(step).max() < 1e-6:
             break
