@@ -181,7 +181,7 @@ def _maybe_labelled(docs: DataFrame, lab: DataFrame) -> DataFrame:
 
 def _train_rows(docs: DataFrame, lab: DataFrame) -> DataFrame:
     """doc_id, text, toxic of all rows of ``docs`` that ``lab`` (doc_id, toxic; a written cut) has."""
-    return _maybe_labelled(docs.select("doc_id", F.col("text").cast("string").alias("text")), lab).join(lab, "doc_id")
+    return _maybe_labelled(docs.select("doc_id", F.col("text").cast("string").alias("text")), lab).join(lab.hint("shuffle_hash"), "doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, train) -> tuple[dict[str, float], np.ndarray | None]:
@@ -196,12 +196,16 @@ def learn(docs: DataFrame, labels: DataFrame, train) -> tuple[dict[str, float],
     if not pos or not neg:
         drop_cut(spark, rows) if pos + neg else None
         return {}, None
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 2)
-    stems = F.transform(F.sequence(F.lit(STEM_FROM), F.lit(STEM_TO)), lambda k: F.transform(F.filter(words, lambda w: F.length(w) >= k), lambda w: F.concat(w.substr(F.lit(1), k), F.lit("*"))))
-    words = rows.select("toxic", F.explode(F.array_distinct(F.concat(words, F.flatten(stems)))).alias("w"))
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 2))
+    stems = F.transform(F.sequence(F.lit(STEM_FROM), F.lit(STEM_TO)), lambda k: F.transform(F.filter("words", lambda w: F.length(w) >= k), lambda w: F.concat(w.substr(F.lit(1), k), F.lit("*"))))
+    words = rows.select("toxic", words.alias("words")).select("toxic", F.explode(F.array_distinct(F.concat("words", F.flatten(stems)))).alias("w"))
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-    counts = words.groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(F.expr("1 - toxic")).alias("n")).where(F.col("p") >= max(MIN_TOXIC_DOCS, int(MIN_TOXIC_SHARE * pos))).withColumn("odds", odds)
+    often = words.where("toxic = 1").groupBy("w").agg(F.count("*").alias("p")).where(F.col("p") >= max(MIN_TOXIC_DOCS, int(MIN_TOXIC_SHARE * pos)))
+    often = cut(spark, often, "toxicity-terms")
+    others = words.where("toxic = 0").join(F.broadcast(often.select("w")), "w").groupBy("w").agg(F.count("*").alias("n"))  # bounded: see MIN_TOXIC_SHARE
+    counts = often.join(others, "w", "left").select("w", "p", F.coalesce("n", F.lit(0)).alias("n")).withColumn("odds", odds)
     terms = {r["w"]: r for r in counts.where(F.col("odds") >= MIN_LOG_ODDS).collect()}  # bounded: see MIN_TOXIC_SHARE
+    drop_cut(spark, often)
     most: dict[str, int] = {}  # rows of a stem's commonest longer term
     for w, r in terms.items():
         for k in range(STEM_FROM, min(STEM_TO, len(w) - 1) + 1):
