@@ -85,6 +85,34 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert token_files.token_digest(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_token_files_words():
+    """Each piece of a text is encoded once, whatever its capitals and the punctuation behind it, and as the library does."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer, normalizers
+
+    lib = Tokenizer.from_file(WORD_BPE)
+    lib.encode_special_tokens = True
+    encoder = token_files.WordEncoder(lib)
+
+    def same(texts):
+        n, ids = encoder.encode_column(pa.array(texts, pa.string()), 1)
+        want = [[*lib.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert n.tolist() == list(map(len, want))
+        assert ids.tolist() == [i for w in want for i in w]
+
+    same(["Tree, tree;  TREE. très&&& tree", "", "\n", "treE,"])
+    assert set(encoder) - {b""} == {b"tree", b",", b";", b".", b"tr\xc3\xa8s", b"&&&"}
+    same(["H\u0331 h\u0331, É, é, e\u0301. ×, ÷; İ. Σ, ς ª, µ; ß! ÿ? à\xa0b, x\u0300y"])  # capitals that compose, letters that are none
+    same(["a" * 60 + ", b" + "." * 8 + " b" + "." * 9 + " " + "!" * 30 + " #,a,# it's, 's. 12, <|ENDOFTEXT|>,"])
+    atoms = [*"abAHeéÉß×\xadà漢１²12.,!?:;#$%&*|'^~` \n\t\x1c\x85\xa0\u3000", "\u0331", "\u0301", "'s", "The", "ing"]
+    for _ in range(60):
+        some = random.sample(atoms, random.randint(2, len(atoms)))
+        same(["".join(random.choices(some, k=random.randint(0, 30))) for _ in range(30)])
+    lib.normalizer = normalizers.NFC()  # other parts: capitals stay
+    encoder = token_files.WordEncoder(lib)
+    same(["Tree, tree;  TREE. Très&&& tree", ""])
+
+
 def test_separator_scan(spark, docs, tmp_path):
     path = str(tmp_path / "flat")
     separator_scan.write_flat_files(docs, RANKS, PATTERN, path, end_id=50256, files_rows=4)
